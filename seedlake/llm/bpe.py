@@ -27,7 +27,7 @@ from .common import joined, slices, span_hashes, utf8
 #: Pieces over so many bytes are merged one by one with a heap: a matrix round costs their whole width.
 WIDEST = 256
 #: Entries of a generation that a worker keeps between batches; about 200 bytes each, two generations.
-KEPT = 300_000
+KEPT = 100_000
 NONE = np.int64(1) << 40
 
 
@@ -83,17 +83,19 @@ class Bpe:
         self.flat = np.zeros(int(sizes.sum()), np.uint8)
         for t, i in self.ranks.items():
             self.flat[self.first[i] : self.first[i + 1]] = np.frombuffer(t, np.uint8)
-        keys, made = [], []
+        self.slot_key = None  # decoding needs no pairs
+        self.chunks, self.pieces = Recent(KEPT), Recent(KEPT // 4)  # chunks from space to space; matches of the pattern
+
+    def _hash_pairs(self) -> None:
+        """The lookup table: every way to part a token in two tokens is a pair that merges into it."""
+        keys, made = array("Q"), array("q")
         for t, i in self.ranks.items():
             for k in range(1, len(t)):
                 a, b = self.ranks.get(t[:k]), self.ranks.get(t[k:])
                 if a is not None and b is not None:
                     keys.append(a << 32 | b)
                     made.append(i)
-        self._hash(np.array(keys, np.uint64), np.array(made, np.int64))
-        self.chunks, self.pieces = Recent(KEPT), Recent(KEPT // 4)  # chunks from space to space; matches of the pattern
-
-    def _hash(self, keys: np.ndarray, made: np.ndarray) -> None:
+        keys, made = np.frombuffer(keys, np.uint64), np.frombuffer(made, np.int64)
         bits = max(4, int(np.ceil(np.log2(max(1, len(keys))))) + 2)
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
         self.slot_key, self.slot_id = np.full(1 << bits, ~np.uint64(0)), np.full(1 << bits, NONE)
@@ -113,6 +115,8 @@ class Bpe:
 
     def pair_ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The id that each pair merges into, NONE where there is none. Ids under 0 are padding."""
+        if self.slot_key is None:
+            self._hash_pairs()
         out = np.full(a.shape, NONE)
         real = np.flatnonzero(((a >= 0) & (b >= 0)).ravel())
         keys = a.ravel()[real].astype(np.uint64) << np.uint64(32) | b.ravel()[real].astype(np.uint64)
@@ -294,7 +298,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str
         bpe = coder(path, pattern)
         for b in batches:
             rows = utf8(b.column(text))
-            for i, j in slices(rows):
+            for i, j in slices(rows, 1 << 20):
                 ids, at = bpe.encode(rows[i:j])
                 column = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([*(b.column(f.name).slice(i, j - i) for f in schema.fields[:-1]), column], [f.name for f in schema.fields])
