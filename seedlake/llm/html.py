@@ -148,6 +148,9 @@ LABELLED = (
     (9, 0.0, 9, 0.0, 60, 0.0, 1, 0, 1), (60, 0.0, 9, 0.0, 45, 0.0, 1, 0, 1), (1, 0.0, 80, 0.0, 50, 0.0, 1, 0, 1),
     (2, 0.0, 0, 0.0, 3, 0.0, 1, 0, 1), (3, 0.0, 2, 0.0, 0, 0.0, 1, 0, 1), (150, 0.02, 40, 0.0, 5, 0.0, 1, 0, 1),
     (25, 0.2, 70, 0.0, 90, 0.0, 1, 0, 1), (12, 0.4, 35, 0.0, 50, 0.0, 1, 0, 1), (5, 0.0, 120, 0.0, 7, 0.3, 1, 0, 1),
+    (40, 0.0, 60, 0.0, 3, 0.0, 1, 0, 1), (7, 0.0, 55, 0.0, 2, 0.0, 1, 0, 1), (90, 0.0, 1, 0.0, 1, 0.0, 1, 0, 1),
+    (2, 0.0, 4, 0.0, 2, 1.0, 1, 0, 1), (1, 0.0, 35, 0.0, 3, 0.0, 1, 0, 1), (12, 0.0, 3, 0.0, 1, 0.0, 1, 0, 1),
+    (3, 0.0, 3, 0.0, 3, 0.0, 1, 0, 1), (65, 0.0, 2, 1.0, 2, 0.0, 1, 0, 1), (18, 0.0, 90, 0.0, 0, 0.0, 1, 0, 1),
     (45, 0.0, 3, 1.0, 52, 0.0, 0, 0, 1), (90, 0.05, 45, 0.0, 80, 0.0, 0, 0, 1), (70, 0.1, 90, 0.0, 4, 1.0, 0, 0, 1),
     (6, 0.0, 60, 0.0, 75, 0.0, 0, 0, 1), (14, 0.0, 50, 0.0, 40, 0.0, 0, 0, 1), (7, 0.0, 2, 1.0, 66, 0.0, 0, 0, 1),
     (28, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1), (20, 0.0, 5, 0.0, 4, 0.0, 0, 0, 1), (2, 0.0, 1, 1.0, 2, 1.0, 0, 0, 0),
@@ -156,7 +159,7 @@ LABELLED = (
 )
 
 
-def grow(rows: np.ndarray, labels: np.ndarray, least: int = 2, deep: int = 6):
+def grow(rows: np.ndarray, labels: np.ndarray, least: int = 1, deep: int = 8):
     """A decision tree by Gini impurity: a share of main text, or (feature, limit, tree at or under it, tree over it)."""
     share = labels.mean()
     if share in (0, 1) or len(labels) < 2 * least or deep == 0:
