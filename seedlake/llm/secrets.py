@@ -79,8 +79,10 @@ def candidates(docs: DataFrame, key: str, rules: tuple[Rule, ...]) -> DataFrame:
     queries = queries_of(rules)
     grams = sorted(set().union(*(g for _, _, g in queries)))
     folded = F.translate("text", CAPITALS, SMALL)
-    held = F.array_compact(F.array(*[F.when(F.contains(folded, F.lit(g)), F.lit(i)) for i, g in enumerate(grams)]))
-    postings = docs.select(key, F.explode(held).alias("gram"))
+    # the text is folded once, as the variable of a lambda
+    all_grams = F.array(*[F.struct(F.lit(g).alias("g"), F.lit(i).alias("i")) for i, g in enumerate(grams)])
+    held = F.flatten(F.transform(F.array(folded), lambda t: F.filter(all_grams, lambda x: F.contains(t, x.g))))
+    postings = docs.select(key, F.explode(held).alias("x")).select(key, F.col("x.i").alias("gram"))
     lists = F.create_map(*[x for i, g in enumerate(grams) for x in (F.lit(i), F.array(*[F.lit(q) for q, (_, _, need) in enumerate(queries) if g in need]))])
     sizes, kinds = F.array(*[F.lit(len(need)) for _, _, need in queries]), F.array(*[F.lit(k) for k, _, _ in queries])
     met = postings.select(key, F.explode(lists[F.col("gram")]).alias("q"), "gram").groupBy(key, "q").agg(F.countDistinct("gram").alias("n"))
