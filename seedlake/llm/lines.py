@@ -15,22 +15,26 @@ WRAP, WINDOW, LEAST_CHARS = 16, 3, 40
 
 def lines_of(text: Column, wrap: int = WRAP) -> Column:
     """The lines, each with what ends it: joined they are the text."""
-    word = r"[^ \n]*"
-    return F.regexp_extract_all(text, F.lit(rf"(?:{word} ){{0,{wrap - 1}}}{word}(?: |\n|$)(?<!^)|\n"), F.lit(0))
+    word = r"[^ \n]*+"
+    return F.regexp_extract_all(text, F.lit(rf"(?!\z)(?:{word} ){{0,{wrap - 1}}}+{word}(?: |\n|\z)"), F.lit(0))
 
 
 def windows(rows: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """row, doc_id, at, h1, h2: a row for each window of at least `least_chars` characters."""
+    """row, doc_id, at, h1, h2: a row for each window of at least `least_chars` characters. Hashed before they are rows, so
+    that a document's lines aren't copied for each."""
     lines = F.transform("lines", lambda x: F.rtrim(F.rtrim(x, F.lit("\n"))))
-    rows = rows.select("row", "doc_id", lines.alias("l"))
-    at = F.explode(F.sequence(F.lit(1), F.size("l") - (WINDOW - 1))).alias("at")
-    three = [F.element_at("l", F.col("at") + k) for k in range(WINDOW)]
-    rows = rows.where(F.size("l") >= WINDOW).select("row", "doc_id", "l", at)
-    return rows.where(sum(F.length(x) for x in three) >= least_chars).select("row", "doc_id", "at", F.xxhash64(*three).alias("h1"), F.xxhash64(F.lit(1), *three).alias("h2"))
+    rows = rows.where(F.size("lines") >= WINDOW).select("row", "doc_id", lines.alias("l"))
+
+    def window(at: Column) -> Column:
+        three = [F.get("l", at + (k - 1)) for k in range(WINDOW)]
+        return F.struct(at.alias("at"), F.xxhash64(*three).alias("h1"), F.xxhash64(F.lit(1), *three).alias("h2"), sum(F.length(x) for x in three).alias("chars"))
+
+    each = F.transform(F.sequence(F.lit(1), F.size("l") - (WINDOW - 1)), window)
+    return rows.select("row", "doc_id", F.inline(each)).where(F.col("chars") >= least_chars).drop("chars")
 
 
 def dedup_lines(docs: DataFrame, wrap: int = WRAP, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """docs with the covered lines out of `text`, and n_lines, n_removed (long).
+    """docs with the covered lines out of `text`, and n_removed (long), how many they were.
 
     A row is known by its doc_id and text: of rows that repeat both, each loses only what the first place elsewhere covers,
     so repeated rows stay alike. A null doc_id comes before all others. A null or empty text stays as it is, without lines;
@@ -50,5 +54,4 @@ def dedup_lines(docs: DataFrame, wrap: int = WRAP, least_chars: int = LEAST_CHAR
     flags = F.map_from_arrays(gone, F.transform(gone, lambda _: F.lit(True)))
     left = F.array_join(F.filter(lines, lambda x, i: ~F.map_contains_key(flags, i)), "")
     text = F.when(F.size(gone) == 0, F.col("text")).otherwise(left)
-    n = F.coalesce(F.size(lines), F.lit(0)).cast("long")
-    return joined.select(*[c for c in docs.columns if c not in ("text", "n_lines", "n_removed")], text.alias("text"), n.alias("n_lines"), F.size(gone).cast("long").alias("n_removed"))
+    return joined.select(*[c for c in docs.columns if c not in ("text", "n_removed")], text.alias("text"), F.size(gone).cast("long").alias("n_removed"))
