@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .store import durable
+
 BLOCK = 1 << 20
 
 
@@ -87,9 +89,11 @@ def neighbours(rows: DataFrame, order: str, value: str, by: tuple[str, ...] = ()
 
 def global_offsets(rows: DataFrame, order: list[str], value: str, out: str = "offset") -> DataFrame:
     """rows with the sum of `value` over all rows before them: a range sort, a running sum in each partition, and the
-    partitions' totals (a row for each partition)."""
+    partitions' totals (a row for each partition). What the sort deals out is kept, as its sampled bounds may differ the
+    next time."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id())
+    dealt = durable(dealt)
     own = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     dealt = dealt.withColumn("__own", F.coalesce(F.sum(value).over(own), F.lit(0)))
     totals = dealt.groupBy("__part").agg(F.sum(value).alias("__sum"))
