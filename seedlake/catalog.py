@@ -1,15 +1,322 @@
-"""The registered queries of the sequence engine and SQL with the same results."""
+"""The registered queries of the sequence engine over the test tables, and SQL with the same results.
+
+documents are the contigs (in order of doc_id), benchmark passages and conversation turns are reads, labels choose targets.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import bases
+from .operators import concordance, gates, intervals, keepset, learned, search, smem, suffix, text
+from .operators.store import durable
+
+AHEAD = 512
+LEAVES = 16
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return durable(text.contigs(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("rid"), bases.encode_text(F.coalesce("text", F.lit(""))).alias("seq"))
+
+
+def doubled(spark: SparkSession, sf_dir: str, safe: bool = False) -> text.Text:
+    return text.build(contigs(spark, sf_dir), AHEAD, contig_safe=safe)
+
+
+def small(spark: SparkSession, sf_dir: str) -> text.Text:
+    """The benchmark passages as a text of their own, for whole suffix arrays."""
+    return text.build(text.contigs(table(spark, sf_dir, "benchmark"), "item_id"), AHEAD)
+
+
+def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select((F.col("doc_id") * 7919 % 100000).alias("start"), (F.col("doc_id") * 7919 % 100000 + F.col("n_chars") % 97).alias("end"))
+
+
+def targets(spark: SparkSession, sf_dir: str, all_: DataFrame) -> DataFrame:
+    good = table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("contig_id")).distinct()
+    return all_.join(good, "contig_id").where("len > 0").select(F.col("offset").alias("start"), (F.col("offset") + F.col("len")).alias("end"))
+
+
+def encode_documents(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", bases.encode_text("text").alias("seq"))
+    return rows.select("doc_id", F.length("seq").cast("long").alias("bases"), F.length(F.regexp_replace("seq", "[^N]", "")).cast("long").alias("n_bases"), F.md5(F.col("seq").cast("binary")).alias("digest"))
+
+
+def kmer_scalars(spark, d):
+    seq = F.regexp_replace("seq", "N", "A")
+    rows = reads(spark, d).withColumn("clean", seq)
+    return rows.select(
+        "rid", bases.tokenize("clean").alias("key32"), bases.key_number(bases.tokenize("clean")).cast("string").alias("key_number"),
+        bases.reverse_complement_key(bases.tokenize("clean"), 20).alias("rc_key20"), bases.canonical(F.left("clean", F.lit(16))).alias("canonical16"),
+        bases.lex_index(F.left("clean", F.lit(8))).alias("lex8"), bases.next_n("seq", F.lit(0)).cast("long").alias("next_n"),
+        bases.minimizer("seq", 32)["kmer"].alias("minimizer"), bases.minimizer("seq", 32)["at"].cast("long").alias("minimizer_at"),
+    )
+
+
+def text_stats(spark, d):
+    return contigs(spark, d).agg(F.count("*").alias("contigs"), F.sum("len").alias("bases"), F.sum(F.length(F.regexp_replace("seq", "[^N]", ""))).cast("long").alias("n_bases"), F.max("offset").alias("last_offset"))
+
+
+def n_runs(spark, d):
+    return text.n_runs(contigs(spark, d))
+
+
+def homopolymer_windows(spark, d):
+    rows = reads(spark, d).select("rid", F.explode(bases.windows("seq", 32)).alias("w"))
+    return rows.groupBy("rid").agg(F.count("*").alias("n_windows"), F.count_if(F.col("w").rlike("A{6}|C{6}|G{6}|T{6}")).alias("homopolymer"), F.count_if(F.contains("w", F.lit("N"))).alias("with_n"))
+
+
+def interval_merge(spark, d):
+    return intervals.merge(spans(spark, d)).select("start", "end")
+
+
+def interval_merge_touching(spark, d):
+    return intervals.merge(spans(spark, d), touching=True).select("start", "end")
+
+
+def interval_pad_merge(spark, d):
+    return intervals.pad_and_merge(spans(spark, d).where("start < end"), 15, 100000).select("start", "end")
+
+
+def interval_covered(spark, d):
+    points = table(spark, d, "orders").select("o_orderkey")
+    return intervals.covered(points, spans(spark, d), "o_orderkey").select("o_orderkey")
+
+
+def kmer_counts(spark, d):
+    forward = text.build(contigs(spark, d), 32, strands=1, fill="N")
+    return keepset.kmer_counts(forward, 20).where("n >= 3").select("kmer", "n")
+
+
+def keepset_runs(spark, d):
+    all_ = contigs(spark, d)
+    return keepset.keep_runs(text.build(all_, 32, strands=1, fill="N"), targets(spark, d, all_), 24, 8, 5).select("start", "end")
+
+
+def keepset_stats(spark, d):
+    all_ = contigs(spark, d)
+    want = durable(targets(spark, d, all_))
+    forward = text.build(all_, 32, strands=1, fill="N")
+    return keepset.keep_stats(keepset.keep_runs(forward, want, 24, 8, 5), want, forward.length).select("runs", "kept_bases", "target_bases")
+
+
+def halo_runs(spark, d):
+    all_ = contigs(spark, d)
+    return keepset.halo_runs(text.build(all_, 32, strands=1, fill="N"), targets(spark, d, all_), 24, 8).select("start", "end")
+
+
+def present_first(spark, d):
+    return gates.present_first(reads(spark, d), doubled(spark, d, safe=True).windows(32))
+
+
+def present_any(spark, d):
+    rows = gates.present_any(reads(spark, d), doubled(spark, d, safe=True).windows(32))
+    return rows.select("rid", "present", F.col("first_hit").cast("long").alias("first_hit"))
+
+
+def gate_misroute(spark, d):
+    return gates.misroute(reads(spark, d), doubled(spark, d, safe=True).windows(32))
+
+
+def bloom_gate(spark, d):
+    keys = small(spark, d).windows(32).select("w").distinct()
+    params = gates.BloomParams.for_keys(keys.count(), 0.01)
+    return gates.present_bloom_first(reads(spark, d), gates.bloom_blocks(keys, params), params)
+
+
+def suffix_array(spark, d):
+    t = small(spark, d)
+    return suffix.with_keys(suffix.suffix_array(t), t)
+
+
+def suffix_positions(spark, d):
+    t = small(spark, d)
+    pats = reads(spark, d).select(F.col("rid").alias("qid"), F.left("seq", F.lit(6)).alias("pattern")).where("not contains(pattern, 'N')")
+    found = search.intervals(t, pats).join(pats, "pattern")
+    return suffix.positions(durable(suffix.suffix_array(t)), found.select("qid", "sa_start", "occ"), 3, 20)
+
+
+def kmer_table(spark, d):
+    return suffix.kmer_table(doubled(spark, d), 4)
+
+
+def pattern_intervals(spark, d):
+    rows = reads(spark, d)
+    pats = rows.select(F.left("seq", F.lit(7)).alias("pattern")).union(rows.select(F.left("seq", F.lit(24)).alias("pattern"))).where("not contains(pattern, 'N')")
+    return search.intervals(doubled(spark, d), pats)
+
+
+def range32(spark, d):
+    return search.range32(doubled(spark, d), reads(spark, d), [0, 10, 40, 100, 300])
+
+
+def mem_search(spark, d):
+    q = reads(spark, d).withColumnRenamed("rid", "qid")
+    return search.mem_search(doubled(spark, d), q, starts=True).select("qid", F.col("match_len").cast("long").alias("match_len"), "occ", "sa_start")
+
+
+def forward_spectrum(spark, d):
+    q = reads(spark, d).withColumnRenamed("rid", "qid")
+    return search.forward_spectrum(doubled(spark, d), q, starts=False).select("qid", "occ", F.col("match_len").cast("long").alias("match_len"))
+
+
+def backward_spectrum(spark, d):
+    a = reads(spark, d).select(F.col("rid").alias("qid"), "seq", F.lit(40).alias("pivot"), F.lit(12).alias("anchor"))
+    return search.backward_spectrum(doubled(spark, d), a).select("qid", F.col("step_no").cast("long").alias("step_no"), F.col("match_len").cast("long").alias("match_len"), "occ")
+
+
+def smems_pass1(spark, d):
+    found = smem.supermaximal_matches(doubled(spark, d), reads(spark, d))
+    return found.select("rid", F.col("m").cast("long").alias("m"), F.col("n").cast("long").alias("n"), "s")
+
+
+def smems_collect(spark, d):
+    return smem.collect(doubled(spark, d), reads(spark, d), ranks=True)
+
+
+def learned_leaves(spark, d):
+    t = small(spark, d)
+    pairs = learned.training_set(suffix.suffix_array(t), t)
+    return pairs.groupBy(learned.leaf_of("key", LEAVES).alias("leaf")).agg(F.count("*").alias("n"), F.min("rank").alias("first"), F.max("rank").alias("last"))
+
+
+def learned_lookup(spark, d):
+    t = small(spark, d)
+    pairs = durable(learned.training_set(suffix.suffix_array(t), t))
+    model = learned.train(pairs, t.total + 1, learned.Config(LEAVES))
+    return learned.errors(model, pairs).select("rank", "key", "pred", "err", "err_at")
+
+
+def learned_errors(spark, d):
+    t = small(spark, d)
+    pairs = durable(learned.training_set(suffix.suffix_array(t), t))
+    return learned.error_distribution(learned.train(pairs, t.total + 1, learned.Config(LEAVES)), pairs)
+
+
+def alignments(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Two made-up alignments of the documents that differ in known ways, and a gate."""
+    r = table(spark, d, "documents").select("doc_id", "n_chars")
+    k = F.col("doc_id")
+    side = lambda flag, pos, cigar, mapq: r.select(k.cast("string").alias("qname"), flag.cast("int").alias("flag"), F.lit("c").alias("rname"), pos.alias("pos"), mapq.cast("int").alias("mapq"), cigar.alias("cigar"))
+    full = side(F.when(k % 11 == 0, 4).otherwise(0), F.col("n_chars"), F.lit("76M"), F.col("n_chars") % 61)
+    fast = side(F.when(k % 13 == 0, 4).otherwise(0), F.col("n_chars") + F.when(k % 7 == 0, 5).otherwise(0), F.when(k % 5 == 0, "40M2I34M").otherwise("76M"), (F.col("n_chars") + k % 3) % 61)
+    return fast, full, r.select(k.cast("string").alias("qname"), (k % 2 == 0).alias("present"))
+
+
+def concordance_report(spark, d):
+    fast, full, gate = alignments(spark, d)
+    return concordance.report(concordance.compare(concordance.primaries(fast), concordance.primaries(full), gate))
+
+
+def concordance_mapq(spark, d):
+    fast, full, gate = alignments(spark, d)
+    return concordance.mapq_deltas(concordance.compare(concordance.primaries(fast), concordance.primaries(full), gate))
+
+
+QUERIES = (
+    encode_documents, kmer_scalars, text_stats, n_runs, homopolymer_windows, interval_merge, interval_merge_touching, interval_pad_merge,
+    interval_covered, kmer_counts, keepset_runs, keepset_stats, halo_runs, present_first, present_any, gate_misroute, bloom_gate,
+    suffix_array, suffix_positions, kmer_table, pattern_intervals, range32, mem_search, forward_spectrum, backward_spectrum, smems_pass1,
+    smems_collect, learned_leaves, learned_lookup, learned_errors, concordance_report, concordance_mapq,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {f.__name__: f for f in QUERIES}
+
+
+# ---- the same in SQL
+
+
+def encoded(column: str) -> str:
+    source = bases.CODES.replace("'", "''")
+    return f"regexp_replace(translate({column}, '{source}', '{bases.CODE_BASES}'), '[^ACGT]', 'N', 'g')"
+
+
+RC = "reverse(translate({0}, 'ACGT', 'TGCA'))"
+C = f"c AS (SELECT doc_id AS contig_id, {encoded("coalesce(text, '')")} AS seq FROM documents), o AS (SELECT contig_id, seq, length(seq) AS len, coalesce(sum(length(seq)) OVER (ORDER BY contig_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off FROM c)"
+R = f"r AS (SELECT item_id AS rid, {encoded('text')} AS seq FROM benchmark)"
+
+
+def tiles(source: str, two: bool = True) -> str:
+    """CTEs that end in ext(start, size, seq): the text in tiles of 1000 with the next tile; source: a query for one column t."""
+    clean = "regexp_replace(t, 'N', 'A', 'g')"
+    whole = f"SELECT {clean} || {RC.format(clean)} AS t FROM ({source})" if two else source
+    return f"two AS ({whole}), cut AS (SELECT unnest(l) AS s, generate_subscripts(l, 1) AS i FROM (SELECT regexp_extract_all(t, '.{{1,1000}}') AS l FROM two)), ext AS (SELECT (i - 1) * 1000 AS start, length(s) AS size, s || coalesce(lead(s) OVER (ORDER BY i), '') AS seq FROM cut)"
+
+
+FLAT = "SELECT string_agg(seq, '' ORDER BY contig_id) AS t FROM c"
+BENCH = "SELECT string_agg(seq, '' ORDER BY rid) AS t FROM r"
+
+
+def windows(k: int, name: str = "w", whole: bool = True) -> str:
+    return f"{name} AS (SELECT start + k AS pos, substr(seq, (k + 1)::BIGINT, {k}) AS w FROM ext, range(0, 1000) g(k) WHERE k < size" + (f" AND k + {k} <= length(seq))" if whole else ")")
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    doc = f"WITH {C}, "
+    flat = f"{doc}{tiles(FLAT)}, "
+    plain = f"{doc}{tiles(FLAT, False)}, "
+    bench = f"WITH {R}, {tiles(BENCH)}, "
+    spans_ = "s AS (SELECT doc_id * 7919 % 100000 AS a, doc_id * 7919 % 100000 + n_chars % 97 AS b FROM documents)"
+
+    def merged(rows: str, op: str) -> str:
+        return f"(SELECT min(a) AS start, max(b) AS \"end\" FROM (SELECT a, b, sum(new) OVER (ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT a, b, CASE WHEN a {op} max(b) OVER (ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM ({rows}))) GROUP BY g)"
+
+    safe = f"d AS (SELECT regexp_replace(seq, 'N', 'A', 'g') AS seq FROM c), e AS (SELECT seq FROM d UNION ALL SELECT {RC.format('seq')} FROM d), k32 AS (SELECT DISTINCT substr(seq, (i + 1)::BIGINT, 32) AS w FROM e, range(0, 200000) g(i) WHERE i + 32 <= length(seq))"
+    first = "regexp_extract(seq, '[ACGT]{32}')"
+    hits = f"{doc}{R}, {safe}, a AS (SELECT rid, i, substr(seq, (i + 1)::BIGINT, 32) AS w FROM r, range(0, 5000) g(i) WHERE i + 32 <= length(seq)), h AS (SELECT rid, min(i) AS fh FROM a WHERE w NOT LIKE '%N%' AND w IN (SELECT w FROM k32) GROUP BY rid)"
+    kmers = f"{windows(24)}, n AS (SELECT pos, least(w, {RC.format('w')}) AS m, w FROM w WHERE w NOT LIKE '%N%'), tg AS (SELECT DISTINCT off AS a, off + len AS b FROM o JOIN labels l ON l.doc_id = o.contig_id AND l.quality = 1 WHERE len > 0)"
+    keep = f"{plain}{kmers}, tk AS (SELECT DISTINCT m FROM n JOIN tg ON pos >= a AND pos < b), few AS (SELECT m FROM n WHERE m IN (SELECT m FROM tk) GROUP BY m HAVING count(*) <= 8), s AS (SELECT pos AS a, pos + 1 AS b FROM n WHERE m IN (SELECT m FROM few) UNION ALL SELECT a, b FROM tg), k AS (SELECT greatest(start - 5, 0) AS a, least(\"end\" + 5, (SELECT sum(len) FROM o)::BIGINT) AS b FROM {merged('SELECT * FROM s', '<=')})"
+    halo = f"{plain}{kmers}, tk AS (SELECT DISTINCT m FROM n JOIN tg ON pos + 24 > a AND pos < b), few AS (SELECT m FROM n WHERE m IN (SELECT m FROM tk) GROUP BY m HAVING sum(CASE WHEN m = {RC.format('m')} THEN 2 ELSE 1 END) <= 8), s AS (SELECT pos AS a, pos + 24 AS b FROM n WHERE m IN (SELECT m FROM few) UNION ALL SELECT a, b FROM tg)"
+    sa = f"{bench}sa AS (SELECT row_number() OVER (ORDER BY w) - 1 AS rank, pos, rpad(substr(w, 1, 32), 32, 'T') AS key FROM (SELECT i AS pos, substr(t, (i + 1)::BIGINT) AS w FROM two, range(0, 1000000) g(i) WHERE i <= length(t)))"
+    seeds = f"{R}, q AS (SELECT rid, p, substr(seq, (p + 1)::BIGINT, 19) AS h, substr(seq, (p + 1)::BIGINT) AS q FROM r, range(0, 5000) g(p) WHERE p + 19 <= length(seq)), qq AS (SELECT * FROM q WHERE h NOT LIKE '%N%'), big AS (SELECT substr(seq, (k + 1)::BIGINT, 19) AS h, substr(seq, (k + 1)::BIGINT, 1000) AS w FROM ext, range(0, 1000) g(k) WHERE k < size), met AS (SELECT rid, p, q, w FROM qq JOIN big USING (h)), lcp AS (SELECT rid, p, (SELECT max(l) FROM range(19, 1001) g(l) WHERE l <= length(q) AND l <= length(w) AND left(q, l) = left(w, l)) AS l FROM met), best AS (SELECT rid, p, max(l) AS l FROM lcp GROUP BY rid, p), top AS (SELECT b.rid, b.p, b.l, count(*) AS s FROM best b JOIN lcp USING (rid, p, l) GROUP BY ALL)"
+    prefixes = f"{R}, heads AS (SELECT substr(seq, (k + 1)::BIGINT, 11) AS h, count(*) AS n FROM ext, range(0, 1000) g(k) WHERE k < size GROUP BY 1), short AS (SELECT qid, m, sum(n)::BIGINT AS occ FROM (SELECT rid AS qid, m, left(seq, m) AS pat FROM (<from>) r, range(1, 12) g(m) WHERE m <= length(seq) AND left(seq, m) NOT LIKE '%N%') JOIN heads ON left(h, m) = pat AND length(h) >= m GROUP BY ALL), q AS (SELECT rid AS qid, seq AS q, left(seq, 12) AS h FROM (<from>) r WHERE length(seq) >= 12 AND left(seq, 12) NOT LIKE '%N%'), big AS (SELECT substr(seq, (k + 1)::BIGINT, 12) AS h, substr(seq, (k + 1)::BIGINT, 1000) AS w FROM ext, range(0, 1000) g(k) WHERE k < size), lcp AS (SELECT qid, (SELECT max(l) FROM range(12, 1001) g(l) WHERE l <= length(q) AND l <= length(w) AND left(q, l) = left(w, l)) AS l FROM q JOIN big USING (h)), long AS (SELECT qid, m, count(*) AS occ FROM lcp, range(12, 1001) g(m) WHERE m <= l GROUP BY ALL), counts AS (SELECT qid, m, occ FROM short UNION ALL SELECT qid, m, occ FROM long)"
+    forward = flat + prefixes.replace("<from>", "SELECT * FROM r")
+    back = f"SELECT rid, {RC.format('left(seq, 52)')} AS seq FROM r"
+    top = "pats AS (SELECT qid, max(m) AS match_len, arg_max(occ, m) AS occ FROM counts GROUP BY qid), pp AS (SELECT p.*, left(r.seq, match_len) AS pat FROM pats p JOIN r ON r.rid = p.qid), lo AS (SELECT qid, 1 + count(*) FILTER (w < pat) AS sa_start FROM pp, big GROUP BY qid)"
+    digits = " + ".join(f"(instr('ACGT', substr(key32, {i + 1}, 1)) - 1)::HUGEINT * {4 ** (31 - i)}::HUGEINT" for i in range(32))
+    full = "SELECT doc_id, doc_id % 11 = 0 AS ub, doc_id % 13 = 0 AS ua, doc_id % 2 = 0 AS present, NOT (doc_id % 7 = 0) AS same, doc_id % 5 = 0 AS other, (n_chars + doc_id % 3) % 61 - n_chars % 61 AS delta FROM documents"
+    comp = f"x AS (SELECT *, NOT ua AND NOT ub AND same AS pos, NOT ua AND NOT ub AND same AND NOT other AS place FROM ({full}))"
+    counts = "count(*) AS n, count(*) FILTER (ua AND ub OR place) AS placement_same, count(*) FILTER (ua AND ub OR pos) AS pos_same, count(*) FILTER (ua AND ub) AS both_unmapped, count(*) FILTER (ua <> ub) AS status_differs, count(*) FILTER (place AND delta = 0) AS mapq_same, count(*) FILTER (place AND delta <> 0) AS mapq_differs, 0::BIGINT AS extra_differs"
+    return {
+        "encode_documents": f"SELECT doc_id, length(seq) AS bases, length(regexp_replace(seq, '[^N]', '', 'g')) AS n_bases, md5(seq) AS digest FROM (SELECT doc_id, {encoded('text')} AS seq FROM documents)",
+        "kmer_scalars": f"WITH {R}, s AS (SELECT rid, seq, regexp_replace(seq, 'N', 'A', 'g') AS clean, rpad(substr(regexp_replace(seq, 'N', 'A', 'g'), 1, 32), 32, 'T') AS key32 FROM r), mins AS (SELECT rid, min(w) AS minimizer, arg_min(i, (w, i)) AS minimizer_at FROM (SELECT rid, i, substr(seq, (i + 1)::BIGINT, 32) AS w FROM r, range(0, 5000) g(i) WHERE i + 32 <= length(seq)) WHERE w NOT LIKE '%N%' GROUP BY rid) SELECT s.rid, key32, ({digits})::VARCHAR AS key_number, rpad({RC.format('left(key32, 20)')}, 32, 'T') AS rc_key20, least(left(clean, 16), {RC.format('left(clean, 16)')}) AS canonical16, ({' + '.join(f'''(instr('ACGT', substr(clean, {i + 1}, 1)) - 1) * {4 ** (7 - i)}''' for i in range(8))})::BIGINT AS lex8, instr(seq || 'N', 'N') - 1 AS next_n, minimizer, minimizer_at FROM s LEFT JOIN mins USING (rid)",
+        "text_stats": f"WITH {C} SELECT count(*) AS contigs, sum(len)::BIGINT AS bases, sum(length(regexp_replace(seq, '[^N]', '', 'g')))::BIGINT AS n_bases, max(off) AS last_offset FROM o",
+        "n_runs": f"{plain}p AS (SELECT start + k AS pos FROM ext, range(0, 1000) g(k) WHERE k < size AND substr(seq, (k + 1)::BIGINT, 1) = 'N') SELECT min(pos) AS start, max(pos) + 1 AS \"end\" FROM (SELECT pos, pos - row_number() OVER (ORDER BY pos) AS g FROM p) GROUP BY g",
+        "homopolymer_windows": f"WITH {R} SELECT rid, count(*) AS n_windows, count(*) FILTER (regexp_matches(w, 'A{{6}}|C{{6}}|G{{6}}|T{{6}}')) AS homopolymer, count(*) FILTER (w LIKE '%N%') AS with_n FROM (SELECT rid, substr(seq, (i + 1)::BIGINT, 32) AS w FROM r, range(0, 5000) g(i) WHERE i + 32 <= length(seq)) GROUP BY rid",
+        "interval_merge": f"WITH {spans_} SELECT * FROM {merged('SELECT * FROM s WHERE a < b', '<')}",
+        "interval_merge_touching": f"WITH {spans_} SELECT * FROM {merged('SELECT * FROM s WHERE a < b', '<=')}",
+        "interval_pad_merge": f"WITH {spans_} SELECT * FROM {merged('SELECT greatest(a - 15, 0) AS a, least(b + 15, 100000) AS b FROM s WHERE a < b', '<=')}",
+        "interval_covered": f"WITH {spans_} SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM s WHERE o_orderkey >= a AND o_orderkey < b)",
+        "kmer_counts": f"{plain}{windows(20)} SELECT least(w, {RC.format('w')}) AS kmer, count(*) AS n FROM w WHERE w NOT LIKE '%N%' GROUP BY 1 HAVING count(*) >= 3",
+        "keepset_runs": f"{keep} SELECT * FROM {merged('SELECT * FROM k', '<=')}",
+        "keepset_stats": f"{keep}, f AS (SELECT * FROM {merged('SELECT * FROM k', '<=')}), t AS (SELECT * FROM {merged('SELECT a, b FROM tg', '<=')}) SELECT count(*) AS runs, sum(\"end\" - start)::BIGINT AS kept_bases, (SELECT sum(\"end\" - start) FROM t)::BIGINT AS target_bases FROM f",
+        "halo_runs": f"{halo} SELECT * FROM {merged('SELECT * FROM s', '<=')}",
+        "present_first": f"{doc}{R}, {safe} SELECT rid, {first} <> '' AND {first} IN (SELECT w FROM k32) AS present FROM r",
+        "present_any": f"{hits} SELECT r.rid, fh IS NOT NULL AS present, fh AS first_hit FROM r LEFT JOIN h USING (rid)",
+        "gate_misroute": f"{hits} SELECT CASE WHEN d <= 1 THEN '1' WHEN d = 2 THEN '2' WHEN d <= 5 THEN '3-5' WHEN d <= 10 THEN '6-10' ELSE '>10' END AS bucket, count(*) AS n FROM (SELECT fh - (instr(seq, {first}) - 1) AS d FROM r JOIN h USING (rid) WHERE {first} NOT IN (SELECT w FROM k32)) GROUP BY 1",
+        "suffix_array": f"{sa} SELECT rank, pos, key FROM sa",
+        "suffix_positions": f"{sa}, p AS (SELECT rid AS qid, left(seq, 6) AS pat FROM r WHERE left(seq, 6) NOT LIKE '%N%'), hit AS (SELECT qid, rank, pos, row_number() OVER (PARTITION BY qid ORDER BY rank) - 1 AS i FROM p JOIN (SELECT rank, pos, substr(t, (pos + 1)::BIGINT, 6) AS f FROM sa, two) ON f = pat) SELECT qid, rank, pos FROM hit WHERE i % 3 = 0 AND i < 60",
+        "kmer_table": f"{flat}h AS (SELECT substr(seq, (k + 1)::BIGINT, 4) AS h, count(*) AS n FROM ext, range(0, 1000) g(k) WHERE k < size GROUP BY 1), m AS (SELECT m, i, list_aggregate(list_transform(range(m), lambda j: substr('ACGT', ((i // (4 ** (m - 1 - j))::BIGINT) % 4 + 1)::BIGINT, 1)), 'string_agg', '') AS w FROM range(1, 5) a(m), range(0, 256) b(i) WHERE i < 4 ** m) SELECT m::INTEGER AS m, i AS w, 1 + coalesce(sum(n) FILTER (h < m.w), 0)::BIGINT AS lo, 1 + coalesce(sum(n) FILTER (h < m.w OR starts_with(h, m.w)), 0)::BIGINT AS hi FROM m, h GROUP BY ALL",
+        "pattern_intervals": f"{flat}{R}, big AS (SELECT substr(seq, (k + 1)::BIGINT, 24) AS w FROM ext, range(0, 1000) g(k) WHERE k < size), p AS (SELECT DISTINCT left(seq, n) AS pattern FROM r, (VALUES (7), (24)) v(n) WHERE left(seq, n) NOT LIKE '%N%') SELECT pattern, CASE WHEN count(*) FILTER (starts_with(w, pattern)) > 0 THEN 1 + count(*) FILTER (w < pattern) ELSE 0 END AS sa_start, count(*) FILTER (starts_with(w, pattern)) AS occ FROM p, big GROUP BY pattern",
+        "range32": f"{flat}{R}, {windows(32)}, q AS (SELECT rid, piv, substr(seq, (piv + 1)::BIGINT, 32) AS h FROM r, (VALUES (0), (10), (40), (100), (300)) v(piv)) SELECT rid, piv AS \"pivot\", count(w.w) AS occ FROM q LEFT JOIN w ON w.w = q.h AND length(h) = 32 GROUP BY rid, piv",
+        "mem_search": f"{forward}, {top} SELECT r.rid AS qid, coalesce(match_len, 0)::BIGINT AS match_len, coalesce(occ, 0)::BIGINT AS occ, coalesce(sa_start, 0)::BIGINT AS sa_start FROM r LEFT JOIN pp ON qid = r.rid LEFT JOIN lo ON lo.qid = r.rid",
+        "forward_spectrum": f"{forward} SELECT qid, occ::BIGINT AS occ, max(m) AS match_len FROM counts GROUP BY qid, occ",
+        "backward_spectrum": f"{flat}{prefixes.replace('<from>', back)} SELECT qid, m - 13 AS step_no, m AS match_len, occ::BIGINT AS occ FROM counts WHERE m > 12",
+        "smems_pass1": f"{flat}{seeds} SELECT rid, p AS m, p + l - 1 AS n, s FROM (SELECT *, lag(p) OVER w AS pp, lag(p + l) OVER w AS pe FROM top WINDOW w AS (PARTITION BY rid ORDER BY p)) WHERE NOT coalesce(pp = p - 1 AND pe >= p + l, false)",
+        "learned_leaves": f"{sa} SELECT ((instr('ACGT', left(key, 1)) - 1) * 4 + instr('ACGT', substr(key, 2, 1)) - 1)::BIGINT AS leaf, count(*) AS n, min(rank) AS first, max(rank) AS last FROM sa WHERE pos < (SELECT length(t) FROM two) - 30 GROUP BY 1",
+        "concordance_report": f"WITH {comp} SELECT CASE WHEN grouping(present) = 1 THEN 'all' WHEN present THEN 'present' ELSE 'absent' END AS partition, {counts} FROM x GROUP BY ROLLUP (present)",
+        "concordance_mapq": f"WITH {comp} SELECT delta::INTEGER AS mapq_delta, count(*) AS n FROM x WHERE place AND delta <> 0 GROUP BY 1",
+    }

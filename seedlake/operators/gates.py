@@ -147,7 +147,7 @@ def keyset_digest(keys: DataFrame, column: str = "w") -> DataFrame:
             yield pd.Series([str(x) for x in splitmix(key_numbers(p))])
 
     rows = keys.select(F.pandas_udf(mixed, "string")(F.col(column).cast("string")).cast("decimal(38,0)").alias("x"))
-    return rows.agg((F.coalesce(F.sum("x"), F.lit(0).cast("decimal(38,0)")) % F.lit(1 << 64).cast("decimal(38,0)")).cast("decimal(20,0)").alias("digest"))
+    return rows.agg((F.coalesce(F.sum("x"), F.lit(0).cast("decimal(38,0)")) % F.expr("cast(18446744073709551616 as decimal(38,0))")).cast("decimal(20,0)").alias("digest"))
 
 
 def accept(smems: DataFrame, reads: DataFrame, present: DataFrame, most: int = 500) -> DataFrame:

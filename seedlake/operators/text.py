@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import bases
-from .intervals import global_offsets
+from .intervals import global_offsets, merge
 
 TILE = 1024
 
@@ -79,13 +79,16 @@ def build(contigs: DataFrame, ahead: int = 512, contig_safe: bool = False, tile:
 
 def n_runs(contigs: DataFrame) -> DataFrame:
     """start, end of the maximal runs of N in the flat forward text."""
-    from .intervals import merge
+    none = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("out"))
 
-    spans = contigs.select("offset", F.regexp_extract_all("seq", F.lit("N+|[^N]+"), F.lit(0)).alias("p"))
-    spans = spans.select("offset", F.posexplode("p").alias("i", "part"), "p")
-    before = F.aggregate(F.slice("p", F.lit(1), F.col("i")), F.lit(0), lambda a, x: a + F.length(x))
-    rows = spans.where("part like 'N%'").select((F.col("offset") + before).alias("start"), F.length("part").alias("n"))
-    return merge(rows.select("start", (F.col("start") + F.col("n")).alias("end")), touching=True)
+    def step(acc: Column, part: Column) -> Column:
+        after = acc.at + F.length(part)
+        run = F.array(F.struct(acc.at.alias("start"), after.alias("end")))
+        return F.struct(after.alias("at"), F.when(F.startswith(part, F.lit("N")), F.concat(acc.out, run)).otherwise(acc.out).alias("out"))
+
+    parts = F.regexp_extract_all("seq", F.lit("N+|[^N]+"), F.lit(0))
+    rows = contigs.where("seq like '%N%'").select("offset", F.inline(F.aggregate(parts, none, step, lambda acc: acc.out)))
+    return merge(rows.select((F.col("offset") + F.col("start")).alias("start"), (F.col("offset") + F.col("end")).alias("end")), touching=True)
 
 
 def longest(reads: DataFrame, seq: str = "seq") -> int:
