@@ -15,9 +15,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import utf8
+from .common import durable, utf8
 
 LEVEL, BLOCK, SEGMENT = 7, 4096, 600
+#: A count for each of so many languages may be broadcast.
+FEW_LANGUAGES = 50_000
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -34,7 +36,9 @@ def dictionaries(docs: DataFrame, dictionary_bytes: int = 48_000, sample_rows: i
     table's size, and of their segments as many as fill `dictionary_bytes`. Only those reach the driver.
     """
     rows = docs.where("lang is not null and text is not null and trim(text) <> ''").select("lang", "text")
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    counts = durable(rows.groupBy("lang").agg(F.count("*").alias("n")))
+    if counts.count() <= FEW_LANGUAGES:  # else texts would be dealt by language, a few keys
+        counts = F.broadcast(counts)
     span = 1 << 40
     picked = rows.join(counts, "lang").where(F.pmod(F.xxhash64("text"), F.lit(span)) < F.lit(span) * F.lit(float(sample_rows)) / F.col("n"))
     parts = picked.select("lang", F.explode(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{SEGMENT}}}"), F.lit(0))).alias("part")).distinct()

@@ -40,17 +40,17 @@ def dedup_lines(docs: DataFrame, wrap: int = WRAP, least_chars: int = LEAST_CHAR
     so repeated rows stay alike. A null doc_id comes before all others. A null or empty text stays as it is, without lines;
     a document whose lines all go keeps an empty text.
     """
-    rows = docs.withColumn("row", F.xxhash64("doc_id", "text", F.lit(7)))
-    lined = rows.select("row", "doc_id", lines_of(F.col("text"), wrap).alias("lines")).where("lines is not null")
+    rows = docs.withColumn("__row", F.xxhash64("doc_id", "text", F.lit(7)))
+    lined = rows.select(F.col("__row").alias("row"), "doc_id", lines_of(F.col("text"), wrap).alias("lines")).where("lines is not null")
     own = windows(lined, least_chars)
     place = F.struct("doc_id", "row", "at")
     # partial aggregation first: a window that a third of all documents share leaves a task as one row
     firsts = own.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     later = own.join(firsts, ["h1", "h2"]).where(place > F.col("first"))
-    covered = later.groupBy("row").agg(F.collect_set("at").alias("starts"))
-    joined = rows.join(covered, "row", "left")
+    covered = later.groupBy(F.col("row").alias("__row")).agg(F.collect_set("at").alias("__starts"))
+    joined = rows.join(covered, "__row", "left")
     lines = lines_of(F.col("text"), wrap)
-    gone = F.coalesce(F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s - 1, s + (WINDOW - 2))))), F.array().cast("array<int>"))
+    gone = F.coalesce(F.array_distinct(F.flatten(F.transform("__starts", lambda s: F.sequence(s - 1, s + (WINDOW - 2))))), F.array().cast("array<int>"))
     flags = F.map_from_arrays(gone, F.transform(gone, lambda _: F.lit(True)))
     left = F.array_join(F.filter(lines, lambda x, i: ~F.map_contains_key(flags, i)), "")
     text = F.when(F.size(gone) == 0, F.col("text")).otherwise(left)

@@ -71,7 +71,7 @@ def spans(text: Column, rule: Rule) -> Column:
 
 
 def candidates(docs: DataFrame, key: str, rules: tuple[Rule, ...]) -> DataFrame:
-    """(key, kinds): the rules that some alternative of which leaves each document over.
+    """(key, __kinds): the rules that some alternative of which leaves each document over.
 
     The index holds a row for each document and query trigram that it contains; an alternative keeps the documents that are
     in all of its lists. Rows are as narrow as a key and a number, and are counted before and after the shuffle.
@@ -87,11 +87,11 @@ def candidates(docs: DataFrame, key: str, rules: tuple[Rule, ...]) -> DataFrame:
     sizes, kinds = F.array(*[F.lit(len(need)) for _, _, need in queries]), F.array(*[F.lit(k) for k, _, _ in queries])
     met = postings.select(key, F.explode(lists[F.col("gram")]).alias("q"), "gram").groupBy(key, "q").agg(F.countDistinct("gram").alias("n"))
     kept = met.where(F.col("n") == F.element_at(sizes, F.col("q") + 1))
-    return kept.groupBy(key).agg(F.collect_set(F.element_at(kinds, F.col("q") + 1)).alias("kinds"))
+    return kept.groupBy(key).agg(F.collect_set(F.element_at(kinds, F.col("q") + 1)).alias("__kinds"))
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE) -> DataFrame:
-    """docs (doc_id, text and any other columns) with `found`: array<struct<kind, s, e>> sorted by place, then rule order.
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, out: str = "found") -> DataFrame:
+    """docs (doc_id, text and any other columns) with `out` (an earlier one is replaced): array<struct<kind, s, e>> sorted by place, then rule order.
 
     A null text is empty and holds nothing. Rows are joined by a hash of id and text: equal rows have equal candidates, and
     a clash can only add a scan. All rows stay, repeated ones too.
@@ -102,10 +102,10 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE) -> DataFrame:
     marked = rows.join(candidates(rows.select(key, "text"), key, rules), key, "left")
     order = F.array(*[F.lit(r.kind) for r in rules])
     none = F.array().cast("array<struct<kind:string,s:int,e:int>>")
-    each = [spans(F.col("text"), r) if not r.literals else F.when(F.array_contains("kinds", F.lit(r.kind)), spans(F.col("text"), r)).otherwise(none) for r in rules]
+    each = [spans(F.col("text"), r) if not r.literals else F.when(F.array_contains("__kinds", F.lit(r.kind)), spans(F.col("text"), r)).otherwise(none) for r in rules]
     ranked = F.transform(F.flatten(F.array(*each)), lambda x: F.struct(x.s.alias("s"), F.array_position(order, x.kind).alias("o"), x.e.alias("e"), x.kind.alias("kind")))
     found = F.transform(F.array_sort(ranked), lambda x: F.struct(x.kind.alias("kind"), x.s.alias("s"), x.e.alias("e")))
-    return marked.withColumn("found", found).drop(key, "kinds")
+    return marked.withColumn(out, found).drop(key, "__kinds")
 
 
 def shown(found: Column) -> Column:
@@ -122,7 +122,7 @@ def secret_digests(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE) -> DataFrame:
     """docs with every found span of `text` replaced by `<kind>`; overlapping spans become one, named by the first. Null texts stay null."""
-    rows = scan(docs.withColumn("__null", F.col("text").isNull()), rules)
+    rows = scan(docs.withColumn("__null", F.col("text").isNull()), rules, "__found")
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -130,5 +130,5 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE) -> DataFrame:
         cut = F.array(F.substr("text", acc.at + 1, x.s - acc.at), F.concat(F.lit("<"), x.kind, F.lit(">")))
         return F.struct(F.greatest(acc.at, x.e).alias("at"), F.when(apart, F.concat(acc.out, cut)).otherwise(acc.out).alias("out"))
 
-    text = F.aggregate("found", start, step, lambda acc: F.concat(F.array_join(acc.out, ""), F.substr("text", acc.at + 1)))
-    return rows.withColumn("text", F.when(F.col("__null"), F.lit(None)).otherwise(F.when(F.size("found") == 0, F.col("text")).otherwise(text))).drop("found", "__null")
+    text = F.aggregate("__found", start, step, lambda acc: F.concat(F.array_join(acc.out, ""), F.substr("text", acc.at + 1)))
+    return rows.withColumn("text", F.when(F.col("__null"), F.lit(None)).otherwise(F.when(F.size("__found") == 0, F.col("text")).otherwise(text))).drop("__found", "__null")
