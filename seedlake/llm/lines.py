@@ -47,11 +47,12 @@ def dedup_lines(docs: DataFrame, wrap: int = WRAP, least_chars: int = LEAST_CHAR
     # partial aggregation first: a window that a third of all documents share leaves a task as one row
     firsts = own.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     later = own.join(firsts, ["h1", "h2"]).where(place > F.col("first"))
-    covered = later.groupBy(F.col("row").alias("__row")).agg(F.collect_set("at").alias("__starts"))
+    covered = later.groupBy(F.col("row").alias("__row")).agg(F.collect_set("at").alias("starts"))
+    # which lines go is worked out before the join, so that the lambda below only looks it up
+    each = F.flatten(F.transform("starts", lambda s: F.sequence(s - 1, s + (WINDOW - 2))))
+    covered = covered.select("__row", F.array_distinct(each).alias("__gone"))
     joined = rows.join(covered, "__row", "left")
-    lines = lines_of(F.col("text"), wrap)
-    gone = F.coalesce(F.array_distinct(F.flatten(F.transform("__starts", lambda s: F.sequence(s - 1, s + (WINDOW - 2))))), F.array().cast("array<int>"))
-    flags = F.map_from_arrays(gone, F.transform(gone, lambda _: F.lit(True)))
-    left = F.array_join(F.filter(lines, lambda x, i: ~F.map_contains_key(flags, i)), "")
-    text = F.when(F.size(gone) == 0, F.col("text")).otherwise(left)
-    return joined.select(*[c for c in docs.columns if c not in ("text", "n_removed")], text.alias("text"), F.size(gone).cast("long").alias("n_removed"))
+    left = F.array_join(F.filter(lines_of(F.col("text"), wrap), lambda x, i: ~F.array_contains("__gone", i)), "")
+    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(left)
+    n = F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long")
+    return joined.select(*[c for c in docs.columns if c not in ("text", "n_removed")], text.alias("text"), n.alias("n_removed"))
