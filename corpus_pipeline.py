@@ -34,9 +34,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, 0.8): the one with the smallest doc_id."""
-    kept = near.near_duplicates(docs.select("doc_id", "text"), width=5, percent=80).where("kept").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    """One document of each group of near-duplicates (five-word shingles, 0.8): the one with the smallest doc_id. Rows without a doc_id stay."""
+    kept = near.near_duplicates(docs.select("doc_id", "text"), width=5, percent=80, keys=True).where("kept").select(F.col("row").alias("__row"))
+    return docs.select(*COLUMNS).withColumn("__row", near.row_key()).join(kept, "__row", "left_semi").select(*COLUMNS)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
