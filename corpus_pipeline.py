@@ -30,7 +30,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later places of repeated three-line windows go; a document of which nothing but white space is left goes too."""
-    return like_documents(lines.dedup_lines(docs.select(*COLUMNS)).where("trim(text) <> ''"))
+    return like_documents(lines.dedup_lines(docs.select(*COLUMNS), least_chars=1).where("trim(text) <> ''"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,36 +1,69 @@
 """Line dedup by overlapping three-line windows.
 
-A line ends at a line feed; a line over `WRAP` words goes on as further lines of `WRAP` words, so that a long passage on one
-line has windows too. Every three consecutive lines are one window, known by 128 hash bits. The first place of a window over
+A line ends at a line feed; a line over `WRAP` words also ends after each word whose hash is the least of its neighbours'
+(`REACH` on both sides), so that cuts move with a passage and it has windows wherever it stands in a line. Every three consecutive lines are one window, known by 128 hash bits. The first place of a window over
 all documents stays, in order of doc_id and place; later ones are covered, and covered lines go. DataFrame functions only.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WRAP, WINDOW, LEAST_CHARS = 16, 3, 40
+WRAP, REACH, WINDOW, LEAST_CHARS = 16, 3, 3, 40
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def cut(long: Column, wrap: int) -> Column:
+    """A long line as an array of shorter lines. Where `wrap` words hold no least hash, it ends after so many."""
+
+    def starts(h: Column) -> Column:
+        def least(x: Column, i: Column) -> Column:
+            near = [(x <= F.get(h, i + k) if up else x < F.get(h, i - k)) for k in range(1, REACH + 1) for up in (False, True)]
+            return reduce(and_, (F.coalesce(c, F.lit(True)) for c in near))  # most words fail at the first
+
+        marks = F.filter(F.transform(h, lambda x, i: F.when(least(x, i), i + 1)), lambda x: x.isNotNull() & (x < F.size(h)))
+        ends = F.concat(marks, F.array(F.size(h)))
+        return let(ends, lambda e: F.flatten(F.transform(e, lambda x, k: F.sequence(F.coalesce(F.get(e, k - 1), F.lit(0)), x - 1, F.lit(wrap)))))
+
+    def joined(w: Column) -> Column:
+        def line(s: Column, x: Column, k: Column) -> Column:
+            after = F.get(s, k + 1)
+            return F.concat(F.array_join(F.slice(w, x + 1, F.coalesce(after, F.size(w)) - x), " "), F.when(after.isNotNull(), " ").when(long.endswith("\n"), "\n").otherwise(""))
+
+        at = let(F.transform(w, lambda x: F.xxhash64(x)), starts)
+        return F.filter(let(at, lambda s: F.transform(s, lambda x, k: line(s, x, k))), lambda x: x != "")
+
+    return let(F.split(F.rtrim(long, F.lit("\n")), " "), joined)
 
 
 def lines_of(text: Column, wrap: int = WRAP) -> Column:
     """The lines, each with what ends it: joined they are the text."""
-    word = r"[^ \n]*+"
-    return F.regexp_extract_all(text, F.lit(rf"(?!\z)(?:{word} ){{0,{wrap - 1}}}+{word}(?: |\n|\z)"), F.lit(0))
+    word, line = r"[^ \n]*+", F.regexp_extract_all(text, F.lit(r"(?!\z)[^\n]*+(?:\n|\z)"), F.lit(0))
+    long = rf"\A(?:{word} ){{{wrap}}}[^\n]"
+    return F.flatten(F.transform(line, lambda x: F.when(x.rlike(long), cut(x, wrap)).otherwise(F.array(x))))
 
 
 def windows(rows: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """row, doc_id, at, h1, h2: a row for each window of at least `least_chars` characters. Hashed before they are rows, so
-    that a document's lines aren't copied for each."""
+    """row, doc_id, at, h1, h2: a row for each window of at least `least_chars` characters (1: all but blank ones). Hashed
+    before they are rows, so that a document's lines aren't copied for each."""
     lines = F.transform("lines", lambda x: F.rtrim(F.rtrim(x, F.lit("\n"))))
-    rows = rows.where(F.size("lines") >= WINDOW).select("row", "doc_id", lines.alias("l"))
 
-    def window(at: Column) -> Column:
-        three = [F.get("l", at + (k - 1)) for k in range(WINDOW)]
+    def window(l: Column, at: Column) -> Column:
+        three = [F.get(l, at + (k - 1)) for k in range(WINDOW)]
         return F.struct(at.alias("at"), F.xxhash64(*three).alias("h1"), F.xxhash64(F.lit(1), *three).alias("h2"), sum(F.length(x) for x in three).alias("chars"))
 
-    each = F.transform(F.sequence(F.lit(1), F.size("l") - (WINDOW - 1)), window)
-    return rows.select("row", "doc_id", F.inline(each)).where(F.col("chars") >= least_chars).drop("chars")
+    each = let(lines, lambda l: F.when(F.size(l) >= WINDOW, F.transform(F.sequence(F.lit(1), F.size(l) - (WINDOW - 1)), lambda at: window(l, at))))
+    # outer, as for an inner one the optimizer works `each` out once more to filter by its size
+    return rows.select("row", "doc_id", F.inline_outer(each)).where(F.col("chars") >= least_chars).drop("chars")
 
 
 def dedup_lines(docs: DataFrame, wrap: int = WRAP, least_chars: int = LEAST_CHARS) -> DataFrame:
@@ -41,7 +74,7 @@ def dedup_lines(docs: DataFrame, wrap: int = WRAP, least_chars: int = LEAST_CHAR
     a document whose lines all go keeps an empty text.
     """
     rows = docs.withColumn("__row", F.xxhash64("doc_id", "text", F.lit(7)))
-    lined = rows.select(F.col("__row").alias("row"), "doc_id", lines_of(F.col("text"), wrap).alias("lines")).where("lines is not null")
+    lined = rows.select(F.col("__row").alias("row"), "doc_id", lines_of(F.col("text"), wrap).alias("lines"))
     own = windows(lined, least_chars)
     place = F.struct("doc_id", "row", "at")
     # partial aggregation first: a window that a third of all documents share leaves a task as one row

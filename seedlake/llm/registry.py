@@ -32,7 +32,7 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.dedup_lines(documents(spark, sf_dir, "doc_id", "text"))
+    return lines.dedup_lines(documents(spark, sf_dir, "doc_id", "text"), least_chars=1)
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -181,6 +181,22 @@ def test_lines(spark, docs):
     assert {r.doc_id: r.n_removed for r in lines.dedup_lines(docs).collect()} == {r.doc_id: len(gone[r.doc_id]) for r in docs.collect()}
 
 
+def test_lines_offsets(spark):
+    """A passage of 51 words inside a line is found wherever it stands in it; short lines count; blank windows don't."""
+    rnd, rows = random.Random(10), []
+    passages = [words(51, rnd).split(" ") for _ in range(40)]
+    for k, p in enumerate(passages):
+        rows.append((k, " ".join([words(20 + k % 7, rnd), *p, words(20, rnd)])))
+        rows.append((100 + k, " ".join([words(1 + k, rnd), *p, words(30, rnd)])))
+    rows += [(300, "a\nb\nc"), (301, "a\nb\nc\nd"), (302, "\n\n\n\nx"), (303, "x " * 100)]
+    out = {r.doc_id: r for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), least_chars=1).collect()}
+    text = dict(rows)
+    assert all(out[k].text == text[k] for k in range(40))
+    assert all(out[100 + k].n_removed >= 3 and len(out[100 + k].text) < len(text[100 + k]) for k in range(40))
+    assert (out[300].text, out[301].text, out[302].text) == ("a\nb\nc", "d", text[302])
+    assert out[303].n_removed > 0
+
+
 def test_packing(docs, texts, empty):
     coder = Tokenizer.from_file(JSON)
     coder.encode_special_tokens = True
