@@ -32,11 +32,11 @@ def fold(doc_id: Column | str, folds: int = 5) -> Column:
 def dictionaries(docs: DataFrame, dictionary_bytes: int = 48_000, sample_rows: int = 400) -> dict[str, bytes]:
     """A dictionary for each lang of docs (text, lang; rows without either are left out).
 
-    The sample is bounded: about `sample_rows` rows of a language, taken by the order of their texts' hash whatever the
-    table's size, and of their segments as many as fill `dictionary_bytes`. Only those reach the driver.
+    The sample is bounded: about `sample_rows` distinct texts of a language, all where it has fewer, taken by their hash however
+    often each is copied, and of their segments as many as fill `dictionary_bytes`. Only those reach the driver.
     """
     rows = docs.where("lang is not null and text is not null and trim(text) <> ''").select("lang", "text")
-    counts = durable(rows.groupBy("lang").agg(F.count("*").alias("n")))
+    counts = durable(rows.select("lang", F.xxhash64("text").alias("h")).distinct().groupBy("lang").agg(F.count("*").alias("n")))
     if counts.count() <= FEW_LANGUAGES:  # else texts would be dealt by language, a few keys
         counts = F.broadcast(counts)
     span = 1 << 40
