@@ -49,6 +49,15 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(t): int(i) for t, i in (line.split() for line in f if line.strip())}
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """The added tokens of a tokenizer's `.json` file and their ids."""
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f).get("added_tokens", [])
+    if any(x.get(k) for x in found for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError("only plain added tokens are known")
+    return {x["content"]: x["id"] for x in found}
+
+
 class Recent(dict):
     """A bounded dictionary: what was asked for lately stays. When `most` entries are full they become the old generation; an old entry that is asked for again moves back."""
 
@@ -261,23 +270,25 @@ class Bpe:
 
 
 class LibraryBpe(Bpe):
-    """The same ids from the tiktoken library's merges: for operators that want ids, not this method."""
+    """The same ids from the tiktoken library's merges: for operators that want ids, not this method. added: the file's added
+    tokens are one id each wherever a text has them, as in the tokenizers library; else they are ordinary text."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, added: bool = False):
         import tiktoken
 
         super().__init__(path, pattern)
-        self.library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={})
+        special = added_tokens(path) if added else {}
+        self.library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens=special)
 
     def encode(self, rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        made = {t: array("i", self.library.encode_ordinary(t.decode())) for t in set(rows)}
+        made = {t: array("i", self.library.encode(t.decode(), allowed_special="all", disallowed_special=())) for t in set(rows)}
         ids = np.frombuffer(b"".join(made[t].tobytes() for t in rows), "<i4")
         return ids, np.concatenate(([0], np.cumsum([len(made[t]) for t in rows]))).astype(np.int64)
 
 
 @lru_cache(maxsize=2)
-def library_coder(path: str, pattern: str) -> LibraryBpe:
-    return LibraryBpe(path, pattern)
+def library_coder(path: str, pattern: str, added: bool = False) -> LibraryBpe:
+    return LibraryBpe(path, pattern, added)
 
 
 @lru_cache(maxsize=2)

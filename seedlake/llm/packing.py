@@ -164,14 +164,14 @@ def slots(runs: list[tuple[list[int], int]]) -> list[tuple[int, int, int, int, i
     return out
 
 
-def pieces(docs: DataFrame, path: str, pattern: str, end_id: int, capacity: int, text: str = "text", keep_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, path: str, pattern: str, end_id: int, capacity: int, text: str = "text", keep_ids: bool = False, added: bool = False) -> DataFrame:
     """The pieces of each row: doc_id, piece, start, length, ids_crc32, and part, rank_in_part: which of its length it is in
     its task's share. Only documents over the capacity are cut, into full pieces after a shorter first one. keep_ids: with
-    the ids themselves (array<int>)."""
+    the ids themselves (array<int>). added: the file's added tokens are one id each, else ordinary text."""
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, part int, rank_in_part long" + ", ids array<int>" * keep_ids
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, part, seen = library_coder(path, pattern), TaskContext.get().partitionId(), defaultdict(int)
+        bpe, part, seen = library_coder(path, pattern, added), TaskContext.get().partitionId(), defaultdict(int)
         for b in batches:
             rows = utf8(b.column(text))
             for i, j in slices(rows):
@@ -216,6 +216,6 @@ def pack(cut: DataFrame, capacity: int = 1024, groups: int = 48) -> DataFrame:
     return placed.select(*keep, (F.col("first_sequence") + F.col("rank") - F.col("lo")).alias("sequence_id"), "offset")
 
 
-def pack_documents(docs: DataFrame, path: str, pattern: str, end_id: int = 2, capacity: int = 1024) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, pattern: str, end_id: int = 2, capacity: int = 1024, added: bool = False) -> DataFrame:
     """Documents (doc_id, text) as packed pieces: doc_id, piece, start, length, ids_crc32, sequence_id, offset. A null or empty text is the end id alone; an empty table gives no rows; rows that share a doc_id are packed each."""
-    return pack(durable(pieces(docs, path, pattern, end_id, capacity)), capacity)
+    return pack(durable(pieces(docs, path, pattern, end_id, capacity, added=added)), capacity)
