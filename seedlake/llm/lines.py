@@ -1,20 +1,29 @@
 """Line dedup by overlapping three-line windows.
 
-A line ends at a line feed; a line over `WRAP` words also ends after each word whose hash is the least of its neighbours'
-(`REACH` on both sides), so that cuts move with a passage and it has windows wherever it stands in a line. Every three consecutive lines are one window, known by 128 hash bits. The first place of a window over
-all documents stays, in order of doc_id and place; later ones are covered, and covered lines go. DataFrame functions only.
+A line ends at a line feed; a line over `WRAP` words also ends after each word that is the least of its neighbours (`REACH` on
+both sides, in byte order), so that cuts move with a passage and it has windows wherever it stands in a line. Every three
+consecutive lines are one window, known by 128 hash bits. The first place of a window over all documents stays, in order of
+doc_id and place; later ones are covered, and covered lines go. DataFrame functions only.
+
+Windows are dealt out once, by their hash. So that a window which a third of all documents share doesn't meet in one task, the
+commonest windows of a sample are dealt out by document too and their firsts compared once more; the sample only decides who
+meets where, never the result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-WRAP, REACH, WINDOW, LEAST_CHARS = 16, 3, 3, 40
+WRAP, REACH, WINDOW = 16, 3, 3
+#: A document in so many is looked at for common windows; so many of them are dealt out in so many parts.
+SAMPLE, COMMON, PARTS = 64, 1000, 64
+#: After every word in byte order.
+LAST = "\U0010ffff"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -23,15 +32,17 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def cut(long: Column, wrap: int) -> Column:
-    """A long line as an array of shorter lines. Where `wrap` words hold no least hash, it ends after so many."""
+    """A long line as an array of shorter lines. Where `wrap` words hold no least word, it ends after so many."""
 
-    def starts(h: Column) -> Column:
-        def least(x: Column, i: Column) -> Column:
-            near = [(x <= F.get(h, i + k) if up else x < F.get(h, i - k)) for k in range(1, REACH + 1) for up in (False, True)]
-            return reduce(and_, (F.coalesce(c, F.lit(True)) for c in near))  # most words fail at the first
+    def starts(w: Column) -> Column:
+        edge = F.array(*[F.lit(LAST)] * REACH)
 
-        marks = F.filter(F.transform(h, lambda x, i: F.when(least(x, i), i + 1)), lambda x: x.isNotNull() & (x < F.size(h)))
-        ends = F.concat(marks, F.array(F.size(h)))
+        def least(p: Column, x: Column, i: Column) -> Column:
+            near = [x <= F.get(p, i + (REACH + k)) if k > 0 else x < F.get(p, i + (REACH + k)) for n in range(1, REACH + 1) for k in (n, -n)]
+            return reduce(and_, near)  # most words fail at the first
+
+        marks = let(F.concat(edge, w, edge), lambda p: F.transform(w, lambda x, i: F.when(least(p, x, i), i + 1).otherwise(0)))
+        ends = F.array_append(F.array_remove(F.array_remove(marks, 0), F.size(w)), F.size(w))
         return let(ends, lambda e: F.flatten(F.transform(e, lambda x, k: F.sequence(F.coalesce(F.get(e, k - 1), F.lit(0)), x - 1, F.lit(wrap)))))
 
     def joined(w: Column) -> Column:
@@ -39,8 +50,7 @@ def cut(long: Column, wrap: int) -> Column:
             after = F.get(s, k + 1)
             return F.concat(F.array_join(F.slice(w, x + 1, F.coalesce(after, F.size(w)) - x), " "), F.when(after.isNotNull(), " ").when(long.endswith("\n"), "\n").otherwise(""))
 
-        at = let(F.transform(w, lambda x: F.xxhash64(x)), starts)
-        return F.filter(let(at, lambda s: F.transform(s, lambda x, k: line(s, x, k))), lambda x: x != "")
+        return F.filter(let(starts(w), lambda s: F.transform(s, lambda x, k: line(s, x, k))), lambda x: x != "")
 
     return let(F.split(F.rtrim(long, F.lit("\n")), " "), joined)
 
@@ -52,40 +62,59 @@ def lines_of(text: Column, wrap: int = WRAP) -> Column:
     return F.flatten(F.transform(line, lambda x: F.when(x.rlike(long), cut(x, wrap)).otherwise(F.array(x))))
 
 
-def windows(rows: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """row, doc_id, at, h1, h2: a row for each window of at least `least_chars` characters (1: all but blank ones). Hashed
-    before they are rows, so that a document's lines aren't copied for each."""
-    lines = F.transform("lines", lambda x: F.rtrim(F.rtrim(x, F.lit("\n"))))
+def windows(rows: DataFrame, wrap: int = WRAP) -> DataFrame:
+    """doc_id, row, at, h1, h2 for rows (doc_id, row, text): a row for each window that isn't blank, known by its middle line,
+    and one at -1 - n for a document of n lines. Hashed before they are rows, so that no line is copied for each."""
 
     def window(l: Column, at: Column) -> Column:
         three = [F.get(l, at + (k - 1)) for k in range(WINDOW)]
-        return F.struct(at.alias("at"), F.xxhash64(*three).alias("h1"), F.xxhash64(F.lit(1), *three).alias("h2"), sum(F.length(x) for x in three).alias("chars"))
+        return F.struct(at.alias("at"), F.xxhash64(*three).alias("h1"), F.xxhash64(F.lit(1), *three).alias("h2"), reduce(or_, [x != "" for x in three]).alias("some"))
+
+    def each(l: Column) -> Column:
+        size = F.array(F.struct((-1 - F.size(l)).alias("at"), F.col("row").alias("h1"), F.xxhash64("doc_id").alias("h2"), F.lit(True).alias("some")))
+        return F.when(F.size(l) >= WINDOW, F.concat(size, F.transform(F.sequence(F.lit(1), F.size(l) - (WINDOW - 1)), lambda at: window(l, at)))).otherwise(size)
+
+    bare = F.transform(lines_of(F.coalesce("text", F.lit("")), wrap), lambda x: F.rtrim(F.rtrim(x, F.lit("\n"))))
+    # outer, as for an inner one the optimizer works the array out once more to filter by its size
+    return rows.select("doc_id", "row", F.inline_outer(let(bare, each))).where("some").drop("some")
+
 
-    each = let(lines, lambda l: F.when(F.size(l) >= WINDOW, F.transform(F.sequence(F.lit(1), F.size(l) - (WINDOW - 1)), lambda at: window(l, at))))
-    # outer, as for an inner one the optimizer works `each` out once more to filter by its size
-    return rows.select("row", "doc_id", F.inline_outer(each)).where(F.col("chars") >= least_chars).drop("chars")
+def later_places(own: DataFrame, common: DataFrame) -> DataFrame:
+    """Of windows (doc_id, row, at, h1, h2) those that stand at an earlier place too, and the rows with at < 0; common (h1, h2): a
+    short list, broadcast, of those to be dealt out in parts."""
+    part = F.when(F.col("often"), F.pmod("row", F.lit(PARTS)) + 1).otherwise(0)
+    dealt = own.join(F.broadcast(common.withColumn("often", F.lit(True))), ["h1", "h2"], "left").withColumn("part", part).drop("often")
+    place = ["doc_id", "row", "at"]
+    # rank, not row_number: equal places are those of repeated rows
+    ranked = dealt.withColumn("nth", F.rank().over(Window.partitionBy("h1", "h2", "part").orderBy(*place)))
+    ranked = ranked.where("nth > 1 or part > 0 or at < 0")
+    # the firsts of the parts meet by the window, all others stay by themselves
+    alone = (F.col("nth") > 1) | (F.col("part") == 0)
+    keys = ranked.withColumn("k1", F.when(alone, F.col("row")).otherwise(F.col("h1"))).withColumn("k2", F.when(alone, F.col("at")).otherwise(F.col("h2")))
+    again = keys.withColumn("nth2", F.rank().over(Window.partitionBy("k1", "k2").orderBy(*place)))
+    return again.where("nth > 1 or nth2 > 1 or at < 0").select("doc_id", "row", "at")
 
 
-def dedup_lines(docs: DataFrame, wrap: int = WRAP, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """docs with the covered lines out of `text`, and n_removed (long), how many they were.
+def dedup_lines(docs: DataFrame, wrap: int = WRAP) -> DataFrame:
+    """docs with the covered lines out of `text`, n_lines (long), how many lines it had, and n_removed (long), how many went.
 
     A row is known by its doc_id and text: of rows that repeat both, each loses only what the first place elsewhere covers,
     so repeated rows stay alike. A null doc_id comes before all others. A null or empty text stays as it is, without lines;
-    a document whose lines all go keeps an empty text.
+    a document whose lines all go keeps an empty text. Blank windows cover nothing. A text of any length is one row's work.
+    All other columns stay, whatever their names; earlier n_lines and n_removed are replaced.
     """
-    rows = docs.withColumn("__row", F.xxhash64("doc_id", "text", F.lit(7)))
-    lined = rows.select(F.col("__row").alias("row"), "doc_id", lines_of(F.col("text"), wrap).alias("lines"))
-    own = windows(lined, least_chars)
-    place = F.struct("doc_id", "row", "at")
-    # partial aggregation first: a window that a third of all documents share leaves a task as one row
-    firsts = own.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = own.join(firsts, ["h1", "h2"]).where(place > F.col("first"))
-    covered = later.groupBy(F.col("row").alias("__row")).agg(F.collect_set("at").alias("starts"))
+    rows = docs.select(F.struct(*docs.columns).alias("d"), "doc_id", F.xxhash64("doc_id", "text", F.lit(7)).alias("row"))
+    texts = docs.select("doc_id", "text", F.xxhash64("doc_id", "text", F.lit(7)).alias("row"))
+    some = windows(texts.where(F.pmod("row", F.lit(SAMPLE)) == 0), wrap).groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1")
+    common = some.orderBy(F.desc("n"), "h1", "h2").limit(COMMON).select("h1", "h2")
+    found = later_places(windows(texts, wrap), common).groupBy("doc_id", "row")
+    found = found.agg(F.collect_set(F.when(F.col("at") > 0, F.col("at"))).alias("at"), (-1 - F.min("at")).alias("n_lines"))
     # which lines go is worked out before the join, so that the lambda below only looks it up
-    each = F.flatten(F.transform("starts", lambda s: F.sequence(s - 1, s + (WINDOW - 2))))
-    covered = covered.select("__row", F.array_distinct(each).alias("__gone"))
-    joined = rows.join(covered, "__row", "left")
-    left = F.array_join(F.filter(lines_of(F.col("text"), wrap), lambda x, i: ~F.array_contains("__gone", i)), "")
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(left)
-    n = F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long")
-    return joined.select(*[c for c in docs.columns if c not in ("text", "n_removed")], text.alias("text"), n.alias("n_removed"))
+    each = F.flatten(F.transform("at", lambda s: F.sequence(s - 1, s + (WINDOW - 2))))
+    found = found.select(F.col("doc_id").alias("id"), F.col("row").alias("key"), "n_lines", F.array_distinct(each).alias("gone"))
+    joined = rows.join(found, (F.col("row") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("id")), "left")
+    left = F.array_join(F.filter(lines_of(F.col("d.text"), wrap), lambda x, i: ~F.array_contains("gone", i)), "")
+    text = F.when(F.size("gone") == 0, F.col("d.text")).otherwise(left)
+    made = {"text": text, "n_lines": F.col("n_lines").cast("long"), "n_removed": F.size("gone").cast("long")}
+    joined = joined.select("d", F.struct(*[c.alias(name) for name, c in made.items()]).alias("made"))
+    return joined.select(*[F.col("d")[c].alias(c) for c in docs.columns if c not in made], "made.*")

@@ -159,26 +159,47 @@ def test_fingerprints(docs, texts, empty):
     assert fingerprint.fingerprint_digests(empty).count() == 0
 
 
-def test_lines(spark, docs):
+def test_lines(spark, docs, empty):
     rnd = random.Random(9)
     passage = "\n".join(words(10, rnd) for _ in range(4))
     one = words(60, random.Random(8))
-    rows = [(1, "start\n" + passage + "\nend"), (2, passage), (3, "other\n" + passage + "\nmore"), (4, one), (5, "x y\n" + one + "\nz"), (6, None), (7, ""), (8, "a\nb\nc\na\nb\nc")]
+    rows = [(1, "start\n" + passage + "\nend"), (2, passage), (3, "other\n" + passage + "\nmore"), (4, one), (5, "x y\n" + one + "\nz"), (6, None), (7, ""), (8, "a\nb\nc\na\nb\nc"), (None, "p\nq\nr"), (9, "p\nq\nr\ns"), (10, "k\nl\nm"), (10, "k\nl\nm")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     cut = df.select("doc_id", "text", lines.lines_of(F.col("text")).alias("l")).collect()
     assert all("".join(r.l or []) == (r.text or "") for r in cut)
-    out = {r.doc_id: r for r in lines.dedup_lines(df).collect()}
-    assert {k: r.text for k, r in out.items()} == {1: rows[0][1], 2: "", 3: "other\nmore", 4: one, 5: "x y\nz", 6: None, 7: "", 8: rows[7][1]}
-    windows, gone = defaultdict(list), defaultdict(set)
+    out = Counter((r.doc_id, r.text) for r in lines.dedup_lines(df).collect())
+    want = {1: rows[0][1], 2: "", 3: "other\nmore", 4: one, 5: "x y\nz", 6: None, 7: "", 8: "a\nb\nc\n", None: "p\nq\nr", 9: "s"}
+    assert out == Counter([*want.items(), *rows[-2:]])
+    assert_lines(docs, lines.dedup_lines(docs).collect())
+    clash = docs.select("doc_id", "text", *[F.lit(k).alias(c) for k, c in enumerate(("row", "d", "gone", "n_lines", "at", "h1", "key", "id"))])
+    got = lines.dedup_lines(clash)
+    assert sorted(got.columns) == sorted([*clash.columns, "n_removed"]) and got.agg(F.sum("row"), F.max("gone")).first() == (0, 2)
+    assert lines.dedup_lines(empty).count() == 0
+
+
+def assert_lines(docs, rows):
+    """n_lines and n_removed as worked out by hand from the same lines."""
+    places, gone, sizes = defaultdict(list), defaultdict(set), {}
     for r in docs.select("doc_id", "text", lines.lines_of(F.col("text")).alias("l")).collect():
         bare = [x.rstrip("\n").rstrip(" ") for x in r.l or []]
+        sizes[r.doc_id] = len(bare)
         for i in range(len(bare) - 2):
-            if sum(map(len, bare[i : i + 3])) >= lines.LEAST_CHARS:
-                windows[tuple(bare[i : i + 3])].append((r.doc_id, i))
-    for found in windows.values():
+            if any(bare[i : i + 3]):
+                places[tuple(bare[i : i + 3])].append((r.doc_id, i))
+    for found in places.values():
         for d, i in sorted(found)[1:]:
             gone[d] |= {i, i + 1, i + 2}
-    assert {r.doc_id: r.n_removed for r in lines.dedup_lines(docs).collect()} == {r.doc_id: len(gone[r.doc_id]) for r in docs.collect()}
+    assert {r.doc_id: (r.n_lines, r.n_removed) for r in rows} == {d: (n, len(gone[d])) for d, n in sizes.items()}
+
+
+def test_lines_hot(spark, monkeypatch):
+    """Windows that most documents share are dealt out in parts, with the same result; so is a very long text."""
+    rnd = random.Random(12)
+    shared = "\n".join(words(6, rnd) for _ in range(5))
+    rows = [(i, f"{words(9, rnd)}\n{shared}\n{words(40, rnd)}") for i in range(150)] + [(200, " ".join(words(40, rnd) for _ in range(900)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(lines, "SAMPLE", 3)
+    assert_lines(df, lines.dedup_lines(df).collect())
 
 
 def test_lines_offsets(spark):
@@ -189,7 +210,7 @@ def test_lines_offsets(spark):
         rows.append((k, " ".join([words(20 + k % 7, rnd), *p, words(20, rnd)])))
         rows.append((100 + k, " ".join([words(1 + k, rnd), *p, words(30, rnd)])))
     rows += [(300, "a\nb\nc"), (301, "a\nb\nc\nd"), (302, "\n\n\n\nx"), (303, "x " * 100)]
-    out = {r.doc_id: r for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), least_chars=1).collect()}
+    out = {r.doc_id: r for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     text = dict(rows)
     assert all(out[k].text == text[k] for k in range(40))
     assert all(out[100 + k].n_removed >= 3 and len(out[100 + k].text) < len(text[100 + k]) for k in range(40))
