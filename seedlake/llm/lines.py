@@ -22,8 +22,6 @@ from pyspark.sql import functions as F
 WRAP, REACH, WINDOW = 16, 3, 3
 #: A document in so many is looked at for common windows; so many of them are dealt out in so many parts.
 SAMPLE, COMMON, PARTS = 64, 1000, 64
-#: After every word in byte order.
-LAST = "\U0010ffff"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -31,35 +29,39 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def cut(long: Column, wrap: int) -> Column:
-    """A long line as an array of shorter lines. Where `wrap` words hold no least word, it ends after so many."""
+def starts(w: Column, wrap: int) -> Column:
+    """Where the lines begin that a line of words w is cut into: after each least word, and after `wrap` words that hold none. The
+    words within REACH of the line's ends aren't least."""
 
-    def starts(w: Column) -> Column:
-        edge = F.array(*[F.lit(LAST)] * REACH)
+    def least(x: Column, i: Column) -> Column:
+        near = [c for k in range(1, REACH + 1) for c in (x <= F.get(w, i + k), x < F.get(w, i - k))]
+        return reduce(and_, near)  # most words fail at the first; past an end it is null
 
-        def least(p: Column, x: Column, i: Column) -> Column:
-            near = [x <= F.get(p, i + (REACH + k)) if k > 0 else x < F.get(p, i + (REACH + k)) for n in range(1, REACH + 1) for k in (n, -n)]
-            return reduce(and_, near)  # most words fail at the first
+    marks = F.transform(w, lambda x, i: F.when(least(x, i), i + 1).otherwise(0))
+    ends = F.array_append(F.array_remove(marks, 0), F.size(w))
+    return let(ends, lambda e: F.flatten(F.transform(e, lambda x, k: F.sequence(F.coalesce(F.get(e, k - 1), F.lit(0)), x - 1, F.lit(wrap)))))
 
-        marks = let(F.concat(edge, w, edge), lambda p: F.transform(w, lambda x, i: F.when(least(p, x, i), i + 1).otherwise(0)))
-        ends = F.array_append(F.array_remove(F.array_remove(marks, 0), F.size(w)), F.size(w))
-        return let(ends, lambda e: F.flatten(F.transform(e, lambda x, k: F.sequence(F.coalesce(F.get(e, k - 1), F.lit(0)), x - 1, F.lit(wrap)))))
 
-    def joined(w: Column) -> Column:
+def lines_of(text: Column, wrap: int = WRAP, bare: bool = False) -> Column:
+    """The lines, each with what ends it: joined they are the text. bare: without that and without spaces before it."""
+
+    def cut(w: Column, end: Column) -> Column:
         def line(s: Column, x: Column, k: Column) -> Column:
             after = F.get(s, k + 1)
-            return F.concat(F.array_join(F.slice(w, x + 1, F.coalesce(after, F.size(w)) - x), " "), F.when(after.isNotNull(), " ").when(long.endswith("\n"), "\n").otherwise(""))
+            own = F.array_join(F.slice(w, x + 1, F.coalesce(after, F.size(w)) - x), " ")
+            return F.rtrim(own) if bare else F.concat(own, F.when(after.isNotNull(), " ").otherwise(end))
 
-        return F.filter(let(starts(w), lambda s: F.transform(s, lambda x, k: line(s, x, k))), lambda x: x != "")
+        return let(starts(w, wrap), lambda s: F.transform(s, lambda x, k: line(s, x, k)))
 
-    return let(F.split(F.rtrim(long, F.lit("\n")), " "), joined)
+    def each(parts: Column) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            end = F.when(i + 1 < F.size(parts), "\n").otherwise("")
+            return let(F.split(x, " "), lambda w: F.when(F.size(w) > wrap, cut(w, end)).otherwise(F.array(F.rtrim(x) if bare else F.concat(x, end))))
 
+        whole = F.slice(parts, F.lit(1), F.size(parts) - F.when(F.element_at(parts, -1) == "", 1).otherwise(0))
+        return F.flatten(F.transform(whole, one))
 
-def lines_of(text: Column, wrap: int = WRAP) -> Column:
-    """The lines, each with what ends it: joined they are the text."""
-    word, line = r"[^ \n]*+", F.regexp_extract_all(text, F.lit(r"(?!\z)[^\n]*+(?:\n|\z)"), F.lit(0))
-    long = rf"\A(?:{word} ){{{wrap}}}[^\n]"
-    return F.flatten(F.transform(line, lambda x: F.when(x.rlike(long), cut(x, wrap)).otherwise(F.array(x))))
+    return let(F.split(text, "\n"), each)
 
 
 def windows(rows: DataFrame, wrap: int = WRAP) -> DataFrame:
@@ -74,7 +76,7 @@ def windows(rows: DataFrame, wrap: int = WRAP) -> DataFrame:
         size = F.array(F.struct((-1 - F.size(l)).alias("at"), F.col("row").alias("h1"), F.xxhash64("doc_id").alias("h2"), F.lit(True).alias("some")))
         return F.when(F.size(l) >= WINDOW, F.concat(size, F.transform(F.sequence(F.lit(1), F.size(l) - (WINDOW - 1)), lambda at: window(l, at)))).otherwise(size)
 
-    bare = F.transform(lines_of(F.coalesce("text", F.lit("")), wrap), lambda x: F.rtrim(F.rtrim(x, F.lit("\n"))))
+    bare = lines_of(F.coalesce("text", F.lit("")), wrap, bare=True)
     # outer, as for an inner one the optimizer works the array out once more to filter by its size
     return rows.select("doc_id", "row", F.inline_outer(let(bare, each))).where("some").drop("some")
 
