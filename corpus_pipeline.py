@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seedlake.llm import lines, near, packing, quality, secrets
-from seedlake.llm.common import durable
+from seedlake.llm.common import shared_folder
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -57,8 +57,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir; between stages Parquet in the shared folder."""
-    durable(spark.range(1))  # names a checkpoint folder where none is set
-    top = spark.sparkContext.getCheckpointDir()
+    top = shared_folder(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         path = f"{top}/pipeline-{uuid.uuid4().hex}/{name}"
