@@ -1,6 +1,7 @@
 """Secret scans through a trigram inverted index.
 
-Each rule's pattern has a Boolean trigram query: an OR of alternatives, each of which needs all of its trigrams. Documents are
+From each rule's pattern a Boolean trigram query is derived: an OR of alternatives, each of which needs all of its trigrams, so
+that every match holds all trigrams of one (in lower case). Documents are
 posted under the trigrams of these queries, postings are intersected by counting, and only documents that some alternative
 leaves over are scanned with that rule's regex; a rule without mandatory trigrams scans every document. DataFrame functions
 only.
@@ -8,7 +9,10 @@ only.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,39 +20,103 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Rule:
-    """kind; pattern; the least length of `group` for a match to count; literals: in lower case, of which a match has all of one alternative."""
+    """kind; pattern; the least length of `group` for a match to count."""
 
     kind: str
     pattern: str
     group: int = 0
     least: int = 1
-    literals: tuple[tuple[str, ...], ...] = ()
 
 
 # The base rules, then rules of public token formats.
 BASE = (
-    Rule("assign", r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 6, (("password",), ("passwd",), ("secret",), ("token",), ("api_key",), ("apikey",))),
-    Rule("access", "AKIA[A-Z0-9]+", 0, 20, (("akia",),)),
+    Rule("assign", r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 6),
+    Rule("access", "AKIA[A-Z0-9]+", 0, 20),
     Rule("hex", "[0-9a-f]+", 0, 24),
 )
 MORE = (
-    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 1, (("ghp_",), ("gho_",), ("ghu_",), ("ghs_",), ("ghr_",))),
-    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 1, (("xoxa-",), ("xoxb-",), ("xoxp-",), ("xoxr-",), ("xoxs-",))),
-    Rule("google", r"AIza[A-Za-z0-9_-]{35}", 0, 1, (("aiza",),)),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1, (("eyj", ".ey"),)),
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----", 0, 1, (("-----begin ", "private key-----"),)),
-    Rule("url_login", r"[a-z][a-z0-9+.-]{1,15}://[^\s/:@]{1,64}:[^\s/:@]{1,64}@", 0, 1, (("://",),)),
+    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
+    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
+    Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("private_key", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"),
+    Rule("url_login", r"[a-z][a-z0-9+.-]{1,15}://[^\s/:@]{1,64}:[^\s/:@]{1,64}@"),
 )
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
-
-def trigrams(text: str) -> set[str]:
-    return {text[i : i + 3] for i in range(len(text) - 2)}
-
-
-def queries_of(rules: tuple[Rule, ...]) -> list[tuple[str, int, list[str]]]:
-    """(kind, alternative, its mandatory trigrams); rules without literals are not here: they scan fully."""
-    return [(r.kind, k, sorted(set().union(*map(trigrams, words)))) for r in rules for k, words in enumerate(r.literals)]
+FOLD = str.maketrans(CAPITALS, SMALL)
+
+
+#: Sets of characters of at most SET are spelled out, texts of a stretch up to STRETCH.
+SET, STRETCH = 8, 64
+
+
+def trigrams(text: str) -> frozenset[str]:
+    return frozenset(text[i : i + 3] for i in range(len(text) - 2))
+
+
+def least(query: set[frozenset[str]]) -> set[frozenset[str]]:
+    """Without alternatives that need more than another one does; an empty alternative holds always."""
+    return {x for x in query if not any(y < x for y in query)}
+
+
+def both(x: set[frozenset[str]], y: set[frozenset[str]]) -> set[frozenset[str]]:
+    made = least({a | b for a in x for b in y})
+    return made if len(made) <= STRETCH else x  # one of the two is enough
+
+
+def walk(node) -> tuple[set[str] | None, set[frozenset[str]]]:
+    """(all texts that a parsed pattern matches, or None if they are many; what every match needs), in lower case."""
+    always = {frozenset()}
+    stretch, query = {""}, always
+
+    def flush(q: set[frozenset[str]]) -> set[frozenset[str]]:
+        return both(q, least({trigrams(x) for x in stretch}))
+
+    whole = True
+    for kind, value in node:
+        name, texts, need = str(kind), None, always
+        if name == "LITERAL":
+            texts = {chr(value).translate(FOLD)}
+        elif name == "IN" and all(str(k) in ("LITERAL", "RANGE") for k, _ in value):
+            codes = [c for k, v in value for c in ([v] if str(k) == "LITERAL" else range(v[0], min(v[1], v[0] + 64) + 1))]
+            texts = {chr(c).translate(FOLD) for c in codes}
+            texts = texts if len(texts) <= SET else None
+        elif name == "SUBPATTERN":
+            texts, need = walk(value[3])
+        elif name == "BRANCH":
+            parts = [walk(x) for x in value[1]]
+            texts = None if any(t is None for t, _ in parts) else set().union(*(t for t, _ in parts))
+            need = least(set().union(*(q if t is None else {trigrams(x) for x in t} for t, q in parts)))
+        elif name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT"):
+            low, high, inner = value
+            own, need = walk(inner)
+            if own is not None and high == 1:
+                texts = own | ({""} if low == 0 else set())
+            elif own is not None and low == high and len(own) ** int(low) <= STRETCH:
+                texts = {"".join(x) for x in product(own, repeat=int(low))}
+            elif own is not None:
+                need = least({trigrams(x) for x in own})
+            need = need if low > 0 else always
+        elif name == "AT":
+            continue
+        if texts is None or len(stretch) * len(texts) > STRETCH:
+            query = both(flush(query), need if texts is None else least({trigrams(x) for x in texts}))
+            stretch, whole = {""}, False
+        else:
+            stretch = {x + y for x in stretch for y in texts}
+    return (stretch, least({trigrams(x) for x in stretch})) if whole else (None, flush(query))
+
+
+@lru_cache(maxsize=None)
+def query_of(pattern: str) -> tuple[tuple[str, ...], ...]:
+    """The alternatives of a pattern's trigram query, each with its mandatory trigrams; none: the pattern needs no trigram."""
+    query = walk(re._parser.parse(pattern))[1] if "(?i" not in pattern else {frozenset()}
+    return () if frozenset() in query else tuple(sorted(tuple(sorted(x)) for x in query))
+
+
+def queries_of(rules: tuple[Rule, ...]) -> list[tuple[str, int, tuple[str, ...]]]:
+    """(kind, alternative, its mandatory trigrams); rules without mandatory trigrams are not here: they scan fully."""
+    return [(r.kind, k, need) for r in rules for k, need in enumerate(query_of(r.pattern))]
 
 
 def spans(text: Column, rule: Rule) -> Column:
@@ -102,7 +170,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, out: str = "fou
     marked = rows.join(candidates(rows.select(key, "text"), key, rules), key, "left")
     order = F.array(*[F.lit(r.kind) for r in rules])
     none = F.array().cast("array<struct<kind:string,s:int,e:int>>")
-    each = [spans(F.col("text"), r) if not r.literals else F.when(F.array_contains("__kinds", F.lit(r.kind)), spans(F.col("text"), r)).otherwise(none) for r in rules]
+    each = [spans(F.col("text"), r) if not query_of(r.pattern) else F.when(F.array_contains("__kinds", F.lit(r.kind)), spans(F.col("text"), r)).otherwise(none) for r in rules]
     ranked = F.transform(F.flatten(F.array(*each)), lambda x: F.struct(x.s.alias("s"), F.array_position(order, x.kind).alias("o"), x.e.alias("e"), x.kind.alias("kind")))
     found = F.transform(F.array_sort(ranked), lambda x: F.struct(x.kind.alias("kind"), x.s.alias("s"), x.e.alias("e")))
     return marked.withColumn(out, found).drop(key, "__kinds")
