@@ -2,7 +2,8 @@
 
 The rolling three-word hashes of every document are joined to the positions of the same hashes in the templates (a fixed, small
 table). A hit votes for its diagonal, the offset between document and template; diagonals that lie close together are one
-sighting, and a sighting that covers enough of its template is a label. DataFrame functions only.
+sighting. It is then verified: its hits' words must be the template's, they must cover enough of the template's words, and the
+span that they stand in must not be much longer than the template. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-K, NEAR, SHARE, SHORT = 3, 4, 0.6, 12
+K, NEAR, SHARE, SHORT, LONG = 3, 4, 0.6, 12, 1.5
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -39,37 +40,46 @@ def words(text: Column) -> Column:
 
 
 def rolling(w: Column) -> Column:
-    """The hash of the K words from each position on; empty under K words."""
+    """h, the hash of the K words from each position on, and t, the words; empty under K words."""
     at = F.filter(F.sequence(F.lit(0), F.greatest(F.size(w) - K, F.lit(0))), lambda i: i <= F.size(w) - K)
-    return F.transform(at, lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(K)]))
+
+    def gram(i: Column) -> Column:
+        three = [F.get(w, i + k) for k in range(K)]
+        return F.struct(F.xxhash64(*three).alias("h"), F.struct(*three).alias("t"))
+
+    return F.transform(at, gram)
 
 
 def template_positions(spark: SparkSession, phrases=PHRASES, templates=TEMPLATES) -> DataFrame:
-    """h, template, at, grams, base, label: one row for each K-gram of the given texts, so its size is theirs."""
+    """h, t, template, at, grams, base, label: one row for each K-gram of the given texts, so its size is theirs."""
     texts = [(i, i < len(phrases), label, text) for i, (label, text) in enumerate([*phrases, *templates])]
     rows = spark.createDataFrame(texts, "template int, base boolean, label string, text string").coalesce(1)
-    rows = rows.select("template", "base", "label", rolling(words(F.col("text"))).alias("h"))
-    return rows.select("template", "base", "label", F.size("h").alias("grams"), F.posexplode("h").alias("at", "h"))
+    rows = rows.select("template", "base", "label", rolling(words(F.col("text"))).alias("g"))
+    return rows.select("template", "base", "label", F.size("g").alias("grams"), F.posexplode("g").alias("at", "g")).select("*", "g.h", F.col("g.t").alias("t0")).drop("g")
 
 
 def sightings(docs: DataFrame, key: str, phrases=PHRASES, templates=TEMPLATES) -> DataFrame:
     """key, label, base, start, end, share: where a template is seen, in words (end exclusive), and how much of it.
 
-    docs: key and w (array of words). A phrase counts where all of its words stand in a row; a passage where the voted
-    places on neighbouring diagonals (at most NEAR words apart, for words put in or left out) hold SHARE of its K-grams (under SHORT K-grams: all).
+    docs: key and w (array of words). A phrase counts where all of its words stand in a row; a passage where the hits
+    on neighbouring diagonals (at most NEAR words apart, for words put in or left out) cover SHARE of its words (under SHORT K-grams:
+    all) within a span of at most LONG times its length.
     """
     spark = docs.sparkSession
-    grams = docs.select(key, F.posexplode(rolling(F.col("w"))).alias("pos", "h"))
-    votes = grams.join(F.broadcast(template_positions(spark, phrases, templates)), "h")
+    grams = docs.select(key, F.posexplode(rolling(F.col("w"))).alias("pos", "g")).select(key, "pos", "g.h", "g.t")
+    votes = grams.join(F.broadcast(template_positions(spark, phrases, templates)), "h").where(F.col("t") == F.col("t0"))
     votes = votes.withColumn("diagonal", F.col("pos") - F.col("at"))
     lines = votes.groupBy(key, "template", "base", "label", "grams", "diagonal").agg(F.collect_set("at").alias("ats"), F.min("pos").alias("lo"), F.max("pos").alias("hi"))
     near = Window.partitionBy(key, "template").orderBy("diagonal")
     apart = F.when(F.col("base") | (F.col("diagonal") - F.lag("diagonal").over(near) > NEAR), 1).otherwise(0)
     merged = lines.withColumn("group", F.sum(apart).over(near.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = merged.groupBy(key, "template", "base", "label", "grams", "group").agg(F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("diagonal").alias("d"))
-    share = F.col("n") / F.col("grams")
+    merged = merged.groupBy(key, "template", "base", "label", "grams", "group").agg(F.array_distinct(F.flatten(F.collect_list("ats"))).alias("ats"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("diagonal").alias("d"))
+    n_words = F.col("grams") + (K - 1)
+    share = F.size(F.array_distinct(F.flatten(F.transform("ats", lambda at: F.sequence(at, at + (K - 1)))))) / n_words
     start = F.when(F.col("base"), F.col("d")).otherwise(F.col("lo"))
-    return merged.where(F.when(F.col("base") | (F.col("grams") < SHORT), F.col("n") == F.col("grams")).otherwise(share >= SHARE)).select(key, "label", "base", start.alias("start"), (F.col("hi") + K).alias("end"), share.alias("share"))
+    whole = F.size("ats") == F.col("grams")
+    passage = (share >= SHARE) & (F.col("hi") + K - F.col("lo") <= n_words * LONG)
+    return merged.where(F.when(F.col("base") | (F.col("grams") < SHORT), whole).otherwise(passage)).select(key, "label", "base", start.alias("start"), (F.col("hi") + K).alias("end"), share.alias("share"))
 
 
 def license_scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES) -> DataFrame:
