@@ -20,18 +20,28 @@ from pyspark.sql import DataFrame
 from .common import utf8
 
 # Names of HTML.
-SKIPPED = frozenset("script style noscript template svg math head title textarea select option button iframe object canvas audio video map".split())
+SKIPPED = frozenset("script style noscript template svg math title textarea select button iframe object canvas audio video map".split())
+#: Their content is no markup: they end at their own end tag only.
+RAW = frozenset("script style title textarea iframe".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ASIDE = frozenset("nav header footer aside form menu dialog fieldset".split())
 MAIN = frozenset("article main".split())
 #: A new one of these ends an open one of the same kind.
 CLOSES_SELF = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-ASIDE_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|banner|sponsor(?:ed)?|promo(?:tion)?|nav(?:bar|igation)?|menu|breadcrumbs?|sidebar|side|footer|header|masthead|comments?|commentlist|replies|reply|respond|disqus|discussion"
-    r"|cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|recommendations|widget|tags|pagination|pager|copyright|legal|disclaimer|toolbar|search)(?:$|[\s_-])"
+#: A part is named so by a whole class token or the last word of one.
+ASIDE_NAMES = frozenset(
+    """ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs
+    sidebar side footer header masthead comment comments commentlist replies reply respond disqus discussion cookie cookies consent gdpr notice
+    notification alert popup modal overlay newsletter subscribe signup login share sharing social related recommended recommendations widget tags
+    pagination pager copyright legal disclaimer toolbar search""".split()
 )
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
+#: Or by the first word of one; not where an earlier word says that the part has or lacks such a thing, or is beside it.
+ASIDE_FIRST = ASIDE_NAMES - frozenset("header side legal search tags alert login notice reply share overlay".split())
+BESIDE = frozenset("has have with without no not non is hide above below after before".split())
+#: No aside by their names.
+NEVER_ASIDE = frozenset("html body main".split())
+TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>|[^<]+|<", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/>"']+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
 
 
@@ -48,21 +58,53 @@ class Block:
         return " ".join(html.unescape("".join(self.parts)).split())
 
 
+def aside_name(value: str) -> bool:
+    """Whether a class, id, role or label names an aside."""
+    for token in value.lower().split():
+        words = re.split(r"[_-]+", token)
+        if not BESIDE.intersection(words[:-1]) and (token in ASIDE_NAMES or words[-1] in ASIDE_NAMES or words[0] in ASIDE_FIRST):
+            return True
+    return False
+
+
 def is_aside(tag: str, attributes: str) -> bool:
     if tag in ASIDE:
         return True
+    if tag in NEVER_ASIDE:
+        return False
     for name, a, b, c in ATTRIBUTE.findall(attributes) if "=" in attributes else ():
-        value = html.unescape(a or b or c).lower()
-        if name.lower() in ("class", "id", "role", "aria-label") and (ASIDE_NAME.search(value) or name.lower() == "role" and value in ("complementary", "contentinfo", "dialog", "alertdialog")):
+        value = html.unescape(a or b or c)
+        if name.lower() in ("class", "id", "role", "aria-label") and (aside_name(value) or name.lower() == "role" and value.lower() in ("complementary", "contentinfo", "dialog", "alertdialog")):
             return True
     return " hidden" in attributes.lower() and re.search(r"\shidden(?:\s|$|=)", attributes.lower()) is not None
 
 
+def end_of(page: str, tag: str, at: int) -> int:
+    """Where an element whose content begins at `at` ends, past its end tag; elements of its own kind inside it are counted. Without
+    an end tag script and style go on to the end of the page, others are empty."""
+    deep = 1
+    for m in re.compile(rf"<(/?){tag}(?=[\s/>])[^>]*(?:>|$)", re.I).finditer(page, at):
+        deep += -1 if m[1] else tag not in RAW
+        if deep == 0:
+            return m.end()
+    return len(page) if tag in ("script", "style") else at
+
+
+def tokens(page: str) -> Iterator[re.Match]:
+    """Tags, texts and comments in order, without what is inside skipped elements."""
+    m = TOKEN.match(page)
+    while m:
+        yield m
+        tag, at = (m[2] or "").lower(), m.end()
+        if tag in SKIPPED and not m[1] and not (m[3].endswith("/") and tag in ("svg", "math", "iframe")):
+            at = end_of(page, tag, at)
+        m = TOKEN.match(page, at)
+
+
 def blocks_of(page: str) -> list[Block]:
     """The text blocks in page order; those without text are left out."""
     out: list[Block] = []
     stack: list[tuple[str, bool, bool, bool]] = []  # tag, inside, aside, in a link
-    skip = ""
     inside = aside = link = False
     block = Block(False, False)
 
@@ -72,12 +114,8 @@ def blocks_of(page: str) -> list[Block]:
             out.append(block)
         block = Block(inside, aside)
 
-    for m in TOKEN.finditer(page):
+    for m in tokens(page):
         tag = m[2]
-        if skip:
-            if tag and m[1] and tag.lower() == skip:
-                skip = ""
-            continue
         if tag is None:
             t = m[0]
             if t.startswith("<![CDATA["):
@@ -89,10 +127,7 @@ def blocks_of(page: str) -> list[Block]:
                 block.linked.append(t)
             continue
         tag = tag.lower()
-        if not m[1] and tag in SKIPPED:
-            skip = "" if m[3].rstrip().endswith("/") and tag in ("svg", "math", "iframe") else tag
-            continue
-        if tag in VOID:
+        if tag in VOID or tag in SKIPPED:
             if tag in ("br", "hr"):
                 block.parts.append(" ")
             continue

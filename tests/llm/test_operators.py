@@ -298,6 +298,20 @@ def test_licenses(spark):
     assert out == want
 
 
+def test_license_spans(spark):
+    """A passage with words put in or left out is one sighting; its three-word pieces far apart or out of order are none."""
+    rnd, mit = random.Random(3), licenses.TEMPLATES[0][1].split(" ")
+    put_in = mit[:12] + ["really"] + mit[12:20] + mit[22:]
+    pieces = [mit[i : i + 3] for i in range(0, len(mit) - 2, 3)]
+    scattered = [w for p in pieces for w in (*p, *words(9, rnd).split(" "))]
+    turned = [w for p in reversed(pieces) for w in p]
+    rows = [(1, " ".join(put_in)), (2, " ".join(scattered)), (3, " ".join(turned)), (4, words(4000, rnd) + " " + " ".join(mit)), (5, " ".join(mit) + " " + " ".join(mit))]
+    out = {r.doc_id: (r.labels, r.score) for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k: v[0] for k, v in out.items()} == {1: "mit", 2: "", 3: "", 4: "mit", 5: "mit"}
+    assert out[4][1] == 1 and 0.6 < out[1][1] < 1
+    assert licenses.license_scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
 PAGE = """<html><head><title>t</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href="/a">A</a></li><li><a href="/b">B</a></li></ul></nav>
 <div class="cookie-notice">We use cookies and so on to make it all better for you and for us all</div><div class="ad">Buy now.</div><article><h1>Title &amp; more</h1><p><b>First   para<br>graph<p>Sec&eacute;nd of <a href=x>it</a>.
 <section class="comments"><p>I think this is a reader's comment which is quite long but not main text.</p></section></article><form>Name <input></form><footer>&copy; me</footer></body></html>"""
@@ -309,3 +323,38 @@ def test_html(spark):
     texts = {r.page_id: r.text for r in out}
     assert len(out) == 5 and texts[1] == "Title & more First para graph Secénd of it." and texts[2] == texts[3] == ""
     assert all(r.n_chars == len(r.text) for r in out)
+
+
+ARTICLE = "<h1>On rivers</h1>" + "".join(f"<p>{words(60, random.Random(k))}.</p>" for k in range(4))
+MAIN_TEXT = " ".join(["On rivers", *(f"{words(60, random.Random(k))}." for k in range(4))])
+WRAPS = [
+    "<html><head><title>t</title></head><body class='has-sidebar'><article>{}</article></body></html>",
+    "<body><div class='layout with-header'><nav><a href=x>Home</a></nav><article>{}</article></div></body>",
+    "<body class=no-sidebar id='page'><div class='post search-results'><article>{}</article></div><div class='site-footer'>All rights</div></body>",
+    "<html><head><title>t</title><meta charset=utf-8><body><article>{}</article></body></html>",
+    "<body><script>for(i=0;i<n;i++){{f('</p>')}}</script><style>a<b{{}}</style><article>{}</article><script>if(a<b)g()</script></body>",
+    "<body><main class='content sidebar'><article>{}</article></main><aside><p>Other words in here that are no article at all</p></aside></body>",
+    "<body><select><option>one<option>two</select><button>Buy<article>{}</article></body>",
+    "<body><svg><title>x</title><svg></svg></svg><article>{}</article><template><p>not shown</p></template><noscript>no</noscript></body>",
+    "<body><a href=\"x>Home</a><article>{}</article></body>",
+]
+
+
+def test_html_keeps_articles():
+    """Names of asides on wrappers, tags that are left open and markup inside scripts lose no article; asides stay out."""
+    tree = html.trained()
+    for wrap in WRAPS:
+        assert html.main_text(wrap.format(ARTICLE), tree) == MAIN_TEXT, wrap
+    for name in ("sidebar", "cookie-notice", "comments", "post-comments", "related-posts", "site-footer", "main-nav", "ad", "ad-banner"):
+        assert html.main_text(f"<body><article>{ARTICLE}</article><div class='{name}'><p>{words(30, random.Random(9))}</p></div></body>", tree) == MAIN_TEXT, name
+    assert html.main_text("", tree) == html.main_text("<script>x", tree) == ""
+
+
+def test_html_empty_long_and_clash(spark):
+    page = "<article>" + "<p>one two three four five six seven eight nine ten</p>" * 20000 + "</article>"
+    rows = [(1, "u", page, "x", 5), (1, "u", page, "x", 5), (None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars long")
+    got = html.extract(df).collect()
+    assert sorted(got[0].asDict()) == ["n_chars", "page_id", "text", "url"]
+    assert sorted((r.page_id or 0, r.n_chars) for r in got) == [(0, 0)] + [(1, 20000 * 49 - 1)] * 2
+    assert html.extract(df.limit(0)).count() == 0
