@@ -1,6 +1,6 @@
 """License scans by diagonal voting.
 
-The rolling three-word hashes of every document are joined to the positions of the same hashes in the templates (a fixed, small
+The rolling three-word hashes of every document, those that any template has, are joined to the positions of the same hashes in the templates (a fixed, small
 table). A hit votes for its diagonal, the offset between document and template; diagonals that lie close together are one
 sighting. It is then verified: its hits' words must be the template's, they must cover enough of the template's words, and the
 span that they stand in must not be much longer than the template. DataFrame functions only.
@@ -39,15 +39,13 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), CAPITALS, SMALL), F.lit(WORD), F.lit(0))
 
 
-def rolling(w: Column) -> Column:
-    """h, the hash of the K words from each position on, and t, the words; empty under K words."""
-    at = F.filter(F.sequence(F.lit(0), F.greatest(F.size(w) - K, F.lit(0))), lambda i: i <= F.size(w) - K)
-
-    def gram(i: Column) -> Column:
-        three = [F.get(w, i + k) for k in range(K)]
-        return F.struct(F.xxhash64(*three).alias("h"), F.struct(*three).alias("t"))
-
-    return F.transform(at, gram)
+def rolling(w: Column, within: list[int] | None = None) -> Column:
+    """array<struct<pos, h, t>> of the K-grams: place, hash and words; empty under K words. within: only those of these hashes, so
+    that the many others never become rows."""
+    at = F.when(F.size(w) >= K, F.sequence(F.lit(0), F.size(w) - K)).otherwise(F.array().cast("array<int>"))
+    three = lambda i: [F.get(w, i + k) for k in range(K)]
+    at = at if within is None else F.filter(at, lambda i: F.xxhash64(*three(i)).isin(within))
+    return F.transform(at, lambda i: F.struct(i.alias("pos"), F.xxhash64(*three(i)).alias("h"), F.struct(*three(i)).alias("t")))
 
 
 def template_positions(spark: SparkSession, phrases=PHRASES, templates=TEMPLATES) -> DataFrame:
@@ -55,7 +53,7 @@ def template_positions(spark: SparkSession, phrases=PHRASES, templates=TEMPLATES
     texts = [(i, i < len(phrases), label, text) for i, (label, text) in enumerate([*phrases, *templates])]
     rows = spark.createDataFrame(texts, "template int, base boolean, label string, text string").coalesce(1)
     rows = rows.select("template", "base", "label", rolling(words(F.col("text"))).alias("g"))
-    return rows.select("template", "base", "label", F.size("g").alias("grams"), F.posexplode("g").alias("at", "g")).select("*", "g.h", F.col("g.t").alias("t0")).drop("g")
+    return rows.select("template", "base", "label", F.size("g").alias("grams"), F.inline("g")).withColumnsRenamed({"pos": "at", "t": "t0"})
 
 
 def sightings(docs: DataFrame, key: str, phrases=PHRASES, templates=TEMPLATES) -> DataFrame:
@@ -66,8 +64,10 @@ def sightings(docs: DataFrame, key: str, phrases=PHRASES, templates=TEMPLATES) -
     all) within a span of at most LONG times its length.
     """
     spark = docs.sparkSession
-    grams = docs.select(key, F.posexplode(rolling(F.col("w"))).alias("pos", "g")).select(key, "pos", "g.h", "g.t")
-    votes = grams.join(F.broadcast(template_positions(spark, phrases, templates)), "h").where(F.col("t") == F.col("t0"))
+    positions = template_positions(spark, phrases, templates)
+    hashes = sorted({r["h"] for r in positions.select("h").collect()})  # as many as the given texts have words
+    grams = docs.select(key, F.inline(rolling(F.col("w"), hashes)))
+    votes = grams.join(F.broadcast(positions), "h").where(F.col("t") == F.col("t0"))
     votes = votes.withColumn("diagonal", F.col("pos") - F.col("at"))
     lines = votes.groupBy(key, "template", "base", "label", "grams", "diagonal").agg(F.collect_set("at").alias("ats"), F.min("pos").alias("lo"), F.max("pos").alias("hi"))
     near = Window.partitionBy(key, "template").orderBy("diagonal")
