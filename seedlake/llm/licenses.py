@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 K, NEAR, SHARE, SHORT, LONG = 3, 4, 0.6, 12, 1.5
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` after A-Z are lower case.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]++"
 
 # The base phrases, then characteristic passages of public licenses.
 PHRASES = (("mit", "under the mit license"), ("apache-2", "apache license version 2"), ("cc-by-nc", "cc by nc"))
@@ -36,16 +37,22 @@ TEMPLATES = (
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), CAPITALS, SMALL), F.lit(WORD), F.lit(0))
+    """The words as they are written."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
 
 
 def rolling(w: Column, within: list[int] | None = None) -> Column:
-    """array<struct<pos, h, t>> of the K-grams: place, hash and words; empty under K words. within: only those of these hashes, so
-    that the many others never become rows."""
-    at = F.when(F.size(w) >= K, F.sequence(F.lit(0), F.size(w) - K)).otherwise(F.array().cast("array<int>"))
-    three = lambda i: [F.get(w, i + k) for k in range(K)]
-    at = at if within is None else F.filter(at, lambda i: F.xxhash64(*three(i)).isin(within))
-    return F.transform(at, lambda i: F.struct(i.alias("pos"), F.xxhash64(*three(i)).alias("h"), F.struct(*three(i)).alias("t")))
+    """array<struct<pos, h, t>> of the K-grams: place, hash and words with A-Z in lower case; empty under K words. within: only those of
+    these hashes, so that the many others never become rows. The hash is of words all in lower case, which is cheaper and can only
+    add hits that t tells apart."""
+    three = lambda x, i: [F.get(x, i + k) for k in range(K)]
+
+    def grams(low: Column) -> Column:
+        at = F.when(F.size(w) >= K, F.sequence(F.lit(0), F.size(w) - K)).otherwise(F.array().cast("array<int>"))
+        at = at if within is None else F.filter(at, lambda i: F.xxhash64(*three(low, i)).isin(within))
+        return F.transform(at, lambda i: F.struct(i.alias("pos"), F.xxhash64(*three(low, i)).alias("h"), F.struct(*[F.translate(x, CAPITALS, SMALL) for x in three(w, i)]).alias("t")))
+
+    return F.get(F.transform(F.array(F.transform(w, F.lower)), grams), F.lit(0))
 
 
 def template_positions(spark: SparkSession, phrases=PHRASES, templates=TEMPLATES) -> DataFrame:
@@ -66,7 +73,8 @@ def sightings(docs: DataFrame, key: str, phrases=PHRASES, templates=TEMPLATES) -
     spark = docs.sparkSession
     positions = template_positions(spark, phrases, templates)
     hashes = sorted({r["h"] for r in positions.select("h").collect()})  # as many as the given texts have words
-    grams = docs.select(key, F.inline(rolling(F.col("w"), hashes)))
+    # outer, as for an inner one the optimizer works the array out once more to filter by its size
+    grams = docs.select(key, F.inline_outer(rolling(F.col("w"), hashes))).where("h is not null")
     votes = grams.join(F.broadcast(positions), "h").where(F.col("t") == F.col("t0"))
     votes = votes.withColumn("diagonal", F.col("pos") - F.col("at"))
     lines = votes.groupBy(key, "template", "base", "label", "grams", "diagonal").agg(F.collect_set("at").alias("ats"), F.min("pos").alias("lo"), F.max("pos").alias("hi"))
@@ -89,13 +97,13 @@ def license_scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES) -> DataF
     largest share of a template that is seen (1 for a phrase, 0 for none).
     """
     rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64(F.lit(3), "text", "doc_id").alias("k2"))
-    rows = rows.select("doc_id", F.struct("k1", "k2").alias("row"), words(F.col("text")).alias("w"))
-    seen = sightings(rows.select("row", "w"), "row", phrases, templates).distinct()
+    rows = rows.select("doc_id", F.struct("k1", "k2").alias("row"), "text")
+    seen = sightings(rows.select("row", words(F.col("text")).alias("w")), "row", phrases, templates).distinct()
     base = F.when(F.col("base"), F.col("start"))
     joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
     found = seen.groupBy("row").agg(
         F.count(base).alias("n_base"), F.min(base).cast("long").alias("first_word"), F.max(base).cast("long").alias("last_word"),
         joined(F.when(F.col("base"), F.col("label"))).alias("base_labels"), joined("label").alias("labels"), F.max("share").alias("score"),
     )
-    out = rows.select("doc_id", "row", F.size("w").cast("long").alias("n_words")).join(found, "row", "left")
+    out = rows.select("doc_id", "row", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("n_words")).join(found, "row", "left")
     return out.select("doc_id", "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word", F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"))

@@ -305,9 +305,9 @@ def test_license_spans(spark):
     pieces = [mit[i : i + 3] for i in range(0, len(mit) - 2, 3)]
     scattered = [w for p in pieces for w in (*p, *words(9, rnd).split(" "))]
     turned = [w for p in reversed(pieces) for w in p]
-    rows = [(1, " ".join(put_in)), (2, " ".join(scattered)), (3, " ".join(turned)), (4, words(4000, rnd) + " " + " ".join(mit)), (5, " ".join(mit) + " " + " ".join(mit))]
+    rows = [(1, " ".join(put_in)), (2, " ".join(scattered)), (3, " ".join(turned)), (4, words(4000, rnd) + " " + " ".join(mit)), (5, " ".join(mit) + " " + " ".join(mit)), (6, "under the MİT license under the mıt license CC BY NK"), (7, "Under İ x THE under the MIT License")]
     out = {r.doc_id: (r.labels, r.score) for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert {k: v[0] for k, v in out.items()} == {1: "mit", 2: "", 3: "", 4: "mit", 5: "mit"}
+    assert {k: v[0] for k, v in out.items()} == {1: "mit", 2: "", 3: "", 4: "mit", 5: "mit", 6: "", 7: "mit"}
     assert out[4][1] == 1 and 0.6 < out[1][1] < 1
     assert licenses.license_scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
