@@ -28,7 +28,11 @@ def same_cohort(a: DataFrame, b: DataFrame, what: str, key: str = "qname") -> No
 
 
 def compare(fast: DataFrame, full: DataFrame, present: DataFrame) -> DataFrame:
-    """qname, present, and what agrees between the primaries of both."""
+    """qname, present, and what agrees between the primaries of both. Both must hold the same reads, and each must have its gate."""
+    same_cohort(fast, full, "fast alignments")
+    missing = full.join(present, "qname", "left_anti").count()
+    if missing:
+        raise ValueError(f"gate: {missing} reads are missing")
     side = lambda df, x: df.select("qname", *[F.col(c).alias(f"{c}_{x}") for c in ("unmapped", "rname", "pos", "cigar", "mapq", "n_extra")])
     rows = side(fast, "a").join(side(full, "b"), "qname").join(present.select("qname", "present"), "qname")
     none = F.col("unmapped_a") & F.col("unmapped_b")

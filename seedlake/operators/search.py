@@ -28,8 +28,6 @@ def queries_at(reads: DataFrame, seed: int) -> DataFrame:
 
 def profile(text: Text, queries: DataFrame, seed: int, most: int) -> DataFrame:
     """rid, p, lcp, n for queries (rid, p, h, q); lcp at least `seed`, at most `most` (the longest query)."""
-    if most > text.ahead + 1:
-        raise ValueError(f"the text is tiled for matches of up to {text.ahead + 1} bases, not {most}")
     found = text.suffixes(most, queries.select("h").distinct(), seed).groupBy("w").agg(F.count("*").alias("n"))
     met = queries.join(found.withColumn("h", F.substr("w", F.lit(1), F.lit(seed))), "h")
     return met.groupBy("rid", "p", bases.common_prefix(F.col("q"), F.col("w"), most).alias("lcp")).agg(F.sum("n").alias("n"))

@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """df cut off from what it was computed from: written to spark.checkpoint.dir, a temporary folder where none is set (tests)."""
+    """df cut off from what it was computed from: written to spark.checkpoint.dir. Where none is set a local session (tests) takes
+    a temporary folder; on a cluster that is an error, as executors don't share such a folder."""
     sc = df.sparkSession.sparkContext
     if df.sparkSession.conf.get("spark.checkpoint.dir", None) is None and sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return df.checkpoint()

@@ -29,15 +29,21 @@ class Text:
     def total(self) -> int:
         return 2 * self.length
 
+    def check(self, most: int) -> None:
+        if most > self.ahead + 1:
+            raise ValueError(f"the text is tiled for matches of up to {self.ahead + 1} bases, not {most}")
+
     def windows(self, k: int) -> DataFrame:
         """pos, w: the k bases from every doubled place that has as many (k at most `ahead` + 1), as bytes."""
+        self.check(k)
         own = F.least(F.col("size"), F.octet_length("b") - (k - 1))
         rows = self.tiles.select("start", "size", F.col("seq").cast("binary").alias("b"))
         at = F.explode(F.sequence(F.lit(0), own - 1)).alias("i")
         return rows.where(own > 0).select("start", "b", at).select((F.col("start") + F.col("i")).alias("pos"), F.substr("b", F.col("i") + 1, F.lit(k)).alias("w"))
 
     def suffixes(self, cap: int, head: DataFrame | None = None, k: int = 0) -> DataFrame:
-        """pos, w: up to `cap` bases from every place; with head(h): only places whose k first bases are in it."""
+        """pos, w: up to `cap` bases (at most `ahead` + 1) from every place; with head(h): only places whose k first bases are in it."""
+        self.check(cap)
         b = F.col("seq").cast("binary")
         at = F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("i")
         rows = self.tiles.select("start", at, b.alias("b"))

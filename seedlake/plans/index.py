@@ -24,6 +24,11 @@ class IndexMismatch(ValueError):
     """Tables of an index that don't belong together."""
 
 
+def digest_of(tiles: DataFrame) -> str:
+    """A digest of the indexed text that doesn't depend on the order of its rows."""
+    return str(tiles.agg(F.coalesce(F.sum(F.xxhash64("start", "seq").cast("decimal(38,0)")), F.lit(0))).first()[0])
+
+
 @dataclass(frozen=True)
 class BuildConfig:
     ahead: int = 512
@@ -57,8 +62,7 @@ class Index:
         t = text.build(contigs, config.ahead, config.contig_safe)
         tables["tiles"] = durable(t.tiles)
         t = text.Text(tables["tiles"], t.length, t.ahead)
-        digest = contigs.agg(F.sum(F.xxhash64("contig_id", "seq").cast("decimal(38,0)"))).first()[0]
-        meta = {"format": FORMAT, "length": t.length, "total": t.total, "ahead": t.ahead, "digest": str(digest or 0), "tiered": keep is not None, "config": asdict(config)}
+        meta = {"format": FORMAT, "length": t.length, "total": t.total, "ahead": t.ahead, "digest": digest_of(tables["tiles"]), "tiered": keep is not None, "config": asdict(config)}
         if config.kmer_table_k:
             tables["kmt"] = suffix.kmer_table(t, config.kmer_table_k)
         if config.store_sa:
@@ -100,6 +104,8 @@ class Index:
         length = self.tables["contigs"].agg(F.coalesce(F.sum("len"), F.lit(0))).first()[0]
         if length != self.meta["length"]:
             raise IndexMismatch(f"contigs hold {length} bases, the index {self.meta['length']}")
+        if (found := digest_of(self.tables["tiles"])) != self.meta["digest"]:
+            raise IndexMismatch(f"the text's digest is {found}, the index's {self.meta['digest']}")
         if "sa" in self.tables and (n := self.tables["sa"].count()) != self.meta["total"] + 1:
             raise IndexMismatch(f"{n} ranks for a text of {self.meta['total']} bases")
 
