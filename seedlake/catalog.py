@@ -126,7 +126,9 @@ def present_any(spark, d):
 
 
 def gate_misroute(spark, d):
-    return gates.misroute(reads(spark, d), doubled(spark, d, safe=True).windows(32))
+    """Of reads whose first 32 bases are turned round, so that their first window is mostly absent."""
+    turned = reads(spark, d).select("rid", F.concat(F.reverse(F.left("seq", F.lit(32))), F.expr("substring(seq, 33)")).alias("seq"))
+    return gates.misroute(turned, doubled(spark, d, safe=True).windows(32))
 
 
 def bloom_gate(spark, d):
@@ -204,6 +206,14 @@ def learned_errors(spark, d):
     return learned.error_distribution(learned.train(pairs, t.total + 1, learned.Config(LEAVES)), pairs)
 
 
+def learned_within(spark, d):
+    """How many keys the model was fitted to, and how many ranks lie further from the predicted one than the leaf's bound."""
+    t = small(spark, d)
+    pairs = durable(learned.training_set(suffix.suffix_array(t), t))
+    found = learned.errors(learned.train(pairs, t.total + 1, learned.Config(LEAVES)), pairs)
+    return found.agg(F.count("*").alias("n"), F.count_if(F.abs(F.col("pred") - F.col("rank")) > F.col("err")).alias("outside"))
+
+
 def alignments(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Two made-up alignments of the documents that differ in known ways, and a gate."""
     r = table(spark, d, "documents").select("doc_id", "n_chars")
@@ -228,7 +238,7 @@ QUERIES = (
     encode_documents, kmer_scalars, text_stats, n_runs, homopolymer_windows, interval_merge, interval_merge_touching, interval_pad_merge,
     interval_covered, kmer_counts, keepset_runs, keepset_stats, halo_runs, present_first, present_any, gate_misroute, bloom_gate,
     suffix_array, suffix_positions, kmer_table, pattern_intervals, range32, mem_search, forward_spectrum, backward_spectrum, smems_pass1,
-    smems_collect, learned_leaves, learned_lookup, learned_errors, concordance_report, concordance_mapq,
+    smems_collect, learned_leaves, learned_lookup, learned_errors, learned_within, concordance_report, concordance_mapq,
 )
 
 
@@ -245,6 +255,7 @@ def encoded(column: str) -> str:
 
 
 RC = "reverse(translate({0}, 'ACGT', 'TGCA'))"
+TURNED = f"r AS (SELECT rid, reverse(left(seq, 32)) || substr(seq, 33) AS seq FROM (SELECT item_id AS rid, {encoded('text')} AS seq FROM benchmark))"
 C = f"c AS (SELECT doc_id AS contig_id, {encoded("coalesce(text, '')")} AS seq FROM documents), o AS (SELECT contig_id, seq, length(seq) AS len, coalesce(sum(length(seq)) OVER (ORDER BY contig_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off FROM c)"
 R = f"r AS (SELECT item_id AS rid, {encoded('text')} AS seq FROM benchmark)"
 
@@ -306,7 +317,8 @@ def oracle_sql() -> dict[str, str]:
         "halo_runs": f"{halo} SELECT * FROM {merged('SELECT * FROM s', '<=')}",
         "present_first": f"{doc}{R}, {safe} SELECT rid, {first} <> '' AND {first} IN (SELECT w FROM k32) AS present FROM r",
         "present_any": f"{hits} SELECT r.rid, fh IS NOT NULL AS present, fh AS first_hit FROM r LEFT JOIN h USING (rid)",
-        "gate_misroute": f"{hits} SELECT CASE WHEN d <= 1 THEN '1' WHEN d = 2 THEN '2' WHEN d <= 5 THEN '3-5' WHEN d <= 10 THEN '6-10' ELSE '>10' END AS bucket, count(*) AS n FROM (SELECT fh - (instr(seq, {first}) - 1) AS d FROM r JOIN h USING (rid) WHERE {first} NOT IN (SELECT w FROM k32)) GROUP BY 1",
+        "gate_misroute": f"{hits.replace(R, TURNED)} SELECT CASE WHEN d <= 1 THEN '1' WHEN d = 2 THEN '2' WHEN d <= 5 THEN '3-5' WHEN d <= 10 THEN '6-10' ELSE '>10' END AS bucket, count(*) AS n FROM (SELECT fh - (instr(seq, {first}) - 1) AS d FROM r JOIN h USING (rid) WHERE {first} NOT IN (SELECT w FROM k32)) GROUP BY 1",
+        "learned_within": f"{sa} SELECT count(*) AS n, 0::BIGINT AS outside FROM sa WHERE pos < (SELECT length(t) FROM two) - 30",
         "suffix_array": f"{sa} SELECT rank, pos, key FROM sa",
         "suffix_positions": f"{sa}, p AS (SELECT rid AS qid, left(seq, 6) AS pat FROM r WHERE left(seq, 6) NOT LIKE '%N%'), hit AS (SELECT qid, rank, pos, row_number() OVER (PARTITION BY qid ORDER BY rank) - 1 AS i FROM p JOIN (SELECT rank, pos, substr(t, (pos + 1)::BIGINT, 6) AS f FROM sa, two) ON f = pat) SELECT qid, rank, pos FROM hit WHERE i % 3 = 0 AND i < 60",
         "kmer_table": f"{flat}h AS (SELECT substr(seq, (k + 1)::BIGINT, 4) AS h, count(*) AS n FROM ext, range(0, 1000) g(k) WHERE k < size GROUP BY 1), m AS (SELECT m, i, list_aggregate(list_transform(range(m), lambda j: substr('ACGT', ((i // (4 ** (m - 1 - j))::BIGINT) % 4 + 1)::BIGINT, 1)), 'string_agg', '') AS w FROM range(1, 5) a(m), range(0, 256) b(i) WHERE i < 4 ** m) SELECT m::INTEGER AS m, i AS w, 1 + coalesce(sum(n) FILTER (h < m.w), 0)::BIGINT AS lo, 1 + coalesce(sum(n) FILTER (h < m.w OR starts_with(h, m.w)), 0)::BIGINT AS hi FROM m, h GROUP BY ALL",
