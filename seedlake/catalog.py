@@ -31,7 +31,12 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doubled(spark: SparkSession, sf_dir: str, safe: bool = False) -> text.Text:
-    return text.build(contigs(spark, sf_dir), AHEAD, contig_safe=safe)
+    """The doubled text, its tiles written once, as most queries pass over it more than once."""
+    return stored(text.build(contigs(spark, sf_dir), AHEAD, contig_safe=safe))
+
+
+def stored(t: text.Text) -> text.Text:
+    return text.Text(durable(t.tiles), t.length, t.ahead)
 
 
 def small(spark: SparkSession, sf_dir: str) -> text.Text:
@@ -101,19 +106,19 @@ def kmer_counts(spark, d):
 
 def keepset_runs(spark, d):
     all_ = contigs(spark, d)
-    return keepset.keep_runs(text.build(all_, 32, strands=1, fill="N"), targets(spark, d, all_), 24, 8, 5).select("start", "end")
+    return keepset.keep_runs(stored(text.build(all_, 32, strands=1, fill="N")), targets(spark, d, all_), 24, 8, 5).select("start", "end")
 
 
 def keepset_stats(spark, d):
     all_ = contigs(spark, d)
     want = durable(targets(spark, d, all_))
-    forward = text.build(all_, 32, strands=1, fill="N")
+    forward = stored(text.build(all_, 32, strands=1, fill="N"))
     return keepset.keep_stats(keepset.keep_runs(forward, want, 24, 8, 5), want, forward.length).select("runs", "kept_bases", "target_bases")
 
 
 def halo_runs(spark, d):
     all_ = contigs(spark, d)
-    return keepset.halo_runs(text.build(all_, 32, strands=1, fill="N"), targets(spark, d, all_), 24, 8).select("start", "end")
+    return keepset.halo_runs(stored(text.build(all_, 32, strands=1, fill="N")), targets(spark, d, all_), 24, 8).select("start", "end")
 
 
 def present_first(spark, d):

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bases
-from .text import Text, longest
+from .store import durable
+from .text import Text, longest, small
 
 #: Patterns shorter than this are looked up among all k-mers of the text, longer ones by their first bases.
 SEED = 12
@@ -44,45 +45,75 @@ def longest_matches(prof: DataFrame) -> DataFrame:
     return prof.groupBy("rid", "p").agg(F.max(F.struct("lcp", "n")).alias("x")).select("rid", "p", F.col("x.lcp").alias("match_len"), F.col("x.n").alias("occ"))
 
 
-def pattern_counts(text: Text, patterns: DataFrame) -> DataFrame:
-    """pattern, occ for distinct patterns over ACGT (those that don't occur, or hold an N, have 0)."""
-    given = patterns.select("pattern").where("pattern is not null and pattern <> ''").distinct()
-    most = longest(given, "pattern")
-    short, long = given.where(F.length("pattern") < SEED), given.where(F.length("pattern") >= SEED)
-    b = F.col("pattern").cast("binary")
-    mers = text.suffixes(SEED - 1).groupBy("w").agg(F.count("*").alias("n"))
-    heads = F.explode(F.sequence(F.lit(1), F.octet_length("w"))).alias("m")
-    mers = mers.select("n", "w", heads).select(F.substr("w", F.lit(1), F.col("m")).alias("b"), "n")
-    counts = mers.join(short.select(b.alias("b")), "b", "left_semi").groupBy("b").agg(F.sum("n").alias("occ"))
-    if most >= SEED:
-        q = long.select(b.alias("b"), F.substr(b, F.lit(1), F.lit(SEED)).alias("h"))
-        found = text.suffixes(most, q.select("h").distinct(), SEED).groupBy("w").agg(F.count("*").alias("n"))
-        met = q.join(found.withColumn("h", F.substr("w", F.lit(1), F.lit(SEED))), "h").where(F.startswith("w", "b"))
-        counts = counts.unionByName(met.groupBy("b").agg(F.sum("n").alias("occ")))
-    return given.withColumn("b", b).join(counts, "b", "left").select("pattern", F.coalesce("occ", F.lit(0)).cast("long").alias("occ"))
+def _given(patterns: DataFrame) -> DataFrame:
+    rows = patterns.select("pattern").where("pattern is not null and pattern <> ''").distinct()
+    return rows.withColumn("b", F.col("pattern").cast("binary"))
 
 
-def lower_bounds(text: Text, patterns: DataFrame) -> DataFrame:
-    """pattern, sa_start: how many suffixes (the end marker's with them) sort before each distinct pattern."""
-    given = patterns.select("pattern").where("pattern is not null and pattern <> ''").distinct().withColumn("b", F.col("pattern").cast("binary"))
-    most = max(HEAD, longest(given, "pattern"))
+def _within(text: Text, given: DataFrame, k: int, most: int) -> DataFrame:
+    """b, less, occ for patterns (b) of k bases and more: how many suffixes that share their first k bases sort before them, and
+    how many begin with them. Few patterns meet the text where it lies and only counts are dealt. Many are put between
+    the suffixes in order, inside each group of k first bases, and counts run over that order: no pairs are made."""
+    q = given.select("b", F.substr("b", F.lit(1), F.lit(k)).alias("h"))
+    if small(q):
+        met = text.suffixes(most, q, k, True).where((F.col("w") < F.col("b")) | F.startswith("w", "b"))
+        return met.groupBy("b").agg(F.count_if(F.col("w") < F.col("b")).alias("less"), F.count_if(F.col("w") >= F.col("b")).alias("occ"))
+    mark = lambda end: F.concat("b", F.lit(end).cast("binary"))
+    found = text.suffixes(most, q.select("h").distinct(), k).groupBy("w").agg(F.count("*").alias("n"))
+    found = found.select(F.substr("w", F.lit(1), F.lit(k)).alias("h"), F.col("w").alias("x"), "n", F.lit(None).cast("binary").alias("b"), F.lit(None).cast("boolean").alias("upper"))
+    probe = lambda x, upper: q.select("h", x.alias("x"), F.lit(0).cast("long").alias("n"), "b", F.lit(upper).alias("upper"))
+    rows = found.unionByName(probe(F.col("b"), False)).unionByName(probe(mark("~"), True))
+    # a pattern stands before the suffixes equal to it, its upper mark behind all that begin with it
+    order = Window.partitionBy("h").orderBy("x", F.col("b").isNull()).rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.withColumn("below", F.coalesce(F.sum("n").over(order), F.lit(0))).where("b is not null")
+    lo, hi = (F.max(F.when(F.col("upper") == flag, F.col("below"))) for flag in (False, True))
+    return sums.groupBy("b").agg(lo.alias("less"), (hi - lo).alias("occ"))
+
+
+def pattern_counts(text: Text, patterns: DataFrame) -> DataFrame:
+    """pattern, occ for distinct patterns over ACGT (those that don't occur, or hold an N, have 0)."""
+    given = _given(patterns)
+    sizes = sorted(r[0] for r in given.select(F.least(F.length("pattern"), F.lit(SEED))).distinct().collect())  # at most SEED numbers
+    short = [m for m in sizes if m < SEED]
+    counts = given.select("b", F.lit(0).cast("long").alias("occ")).limit(0)
+    if short:
+        mers = text.suffixes(short[-1]).groupBy("w").agg(F.count("*").alias("n"))
+        heads = F.explode(F.filter(F.array(*map(F.lit, short)), lambda m: m <= F.octet_length("w"))).alias("m")
+        mers = mers.select("n", "w", heads).select(F.substr("w", F.lit(1), F.col("m")).alias("b"), "n")
+        counts = mers.join(given.select("b"), "b", "left_semi").groupBy("b").agg(F.sum("n").alias("occ"))
+    if SEED in sizes:
+        long = given.where(F.length("pattern") >= SEED)
+        counts = counts.unionByName(_within(text, long, SEED, longest(long, "pattern")).select("b", "occ"))
+    return given.join(counts, "b", "left").select("pattern", F.coalesce("occ", F.lit(0)).cast("long").alias("occ"))
+
+
+def bounds(text: Text, patterns: DataFrame) -> DataFrame:
+    """pattern, sa_start, occ: how many suffixes (the end marker's with them) sort before each distinct pattern, and how many
+    begin with it. Two passes over the text: one counts first bases, the other the suffixes under a pattern's first bases."""
+    given = _given(patterns)
     mark = F.substr("b", F.lit(1), F.lit(HEAD))
     heads = text.suffixes(HEAD).groupBy("w").agg(F.count("*").alias("n")).select(F.col("w").alias("b"), "n", F.lit(0).alias("probe"))
     # at most 4^HEAD text heads and as many pattern heads: one ordered pass over a constant number of rows
     both = heads.unionByName(given.select(mark.alias("b"), F.lit(0).cast("long").alias("n"), F.lit(1).alias("probe")).distinct())
     order = Window.orderBy("b", F.desc("probe")).rowsBetween(Window.unboundedPreceding, -1)
     below = both.withColumn("below", F.coalesce(F.sum("n").over(order), F.lit(0)) + 1).where("probe = 1").select(F.col("b").alias("h"), "below")
-    q = given.withColumn("h", mark)
-    inside = text.suffixes(most, q.where(F.octet_length("h") == HEAD).select("h").distinct(), HEAD).groupBy("w").agg(F.count("*").alias("n"))
-    met = q.join(inside.withColumn("h", F.substr("w", F.lit(1), F.lit(HEAD))), "h").where("w < b").groupBy("b").agg(F.sum("n").alias("inside"))
-    return q.join(below, "h").join(met, "b", "left").select("pattern", (F.col("below") + F.coalesce("inside", F.lit(0))).cast("long").alias("sa_start"))
+    less = F.explode(F.sequence(F.lit(1), F.least(F.octet_length("b"), F.lit(HEAD - 1)))).alias("m")
+    short = heads.select("b", "n", less).groupBy(F.substr("b", F.lit(1), F.col("m")).alias("b")).agg(F.lit(0).cast("long").alias("less"), F.sum("n").alias("occ"))
+    long = given.where(F.octet_length("b") >= HEAD)
+    inside = _within(text, long, HEAD, max(HEAD, longest(given, "pattern"))).unionByName(short)
+    zero = F.lit(0).cast("long")
+    rows = given.withColumn("h", mark).join(below, "h").join(inside, "b", "left")
+    return rows.select("pattern", (F.col("below") + F.coalesce("less", zero)).cast("long").alias("sa_start"), F.coalesce("occ", zero).cast("long").alias("occ"))
+
+
+def lower_bounds(text: Text, patterns: DataFrame) -> DataFrame:
+    """pattern, sa_start: how many suffixes (the end marker's with them) sort before each distinct pattern."""
+    return bounds(text, patterns).select("pattern", "sa_start")
 
 
 def intervals(text: Text, patterns: DataFrame) -> DataFrame:
     """pattern, sa_start, occ; sa_start 0 where the pattern doesn't occur."""
-    counts = pattern_counts(text, patterns)
-    starts = lower_bounds(text, counts.where("occ > 0"))
-    return counts.join(starts, "pattern", "left").select("pattern", F.coalesce("sa_start", F.lit(0)).cast("long").alias("sa_start"), "occ")
+    return bounds(text, patterns).select("pattern", F.when(F.col("occ") > 0, F.col("sa_start")).otherwise(0).cast("long").alias("sa_start"), "occ")
 
 
 def kmer_exists(text: Text, patterns: DataFrame) -> DataFrame:
@@ -116,8 +147,8 @@ def match_counts(text: Text, queries: DataFrame) -> DataFrame:
 
 def with_starts(text: Text, steps: DataFrame, queries: DataFrame) -> DataFrame:
     """steps (qid, match_len, ...) with sa_start of the query's first match_len bases."""
-    rows = steps.join(queries, "qid").withColumn("pattern", F.left("seq", "match_len"))
-    return rows.join(lower_bounds(text, rows), "pattern").drop("pattern", "seq")
+    rows = durable(steps.join(queries, "qid").withColumn("pattern", F.left("seq", "match_len")).drop("seq"))
+    return rows.join(lower_bounds(text, rows), "pattern").drop("pattern")
 
 
 def forward_spectrum(text: Text, queries: DataFrame, starts: bool = True) -> DataFrame:

@@ -15,6 +15,8 @@ from ..functions import bases
 from .intervals import global_offsets, merge
 
 TILE = 1024
+#: Bytes of asked patterns up to which they are broadcast.
+SMALL = 32 << 20
 
 
 @dataclass
@@ -41,22 +43,36 @@ class Text:
         at = F.explode(F.sequence(F.lit(0), own - 1)).alias("i")
         return rows.where(own > 0).select("start", "b", at).select((F.col("start") + F.col("i")).alias("pos"), F.substr("b", F.col("i") + 1, F.lit(k)).alias("w"))
 
-    def suffixes(self, cap: int, head: DataFrame | None = None, k: int = 0) -> DataFrame:
-        """pos, w: up to `cap` bases (at most `ahead` + 1) from every place; with head(h): only places whose k first bases are in it."""
+    def suffixes(self, cap: int, head: DataFrame | None = None, k: int = 0, few: bool | None = None) -> DataFrame:
+        """pos, w: up to `cap` bases (at most `ahead` + 1) from every place; with head(h, ...): only places whose k first bases
+        are in it, with its other columns, once for each row of it. A head that is small by count (few, if that is known) is sent to all tasks and no
+        text is dealt; beyond that places are dealt by h with their `cap` bases, never with their whole tile."""
         self.check(cap)
         b = F.col("seq").cast("binary")
         at = F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("i")
-        rows = self.tiles.select("start", at, b.alias("b"))
-        if head is not None:
-            rows = rows.withColumn("h", F.substr("b", F.col("i") + 1, F.lit(k))).join(head, "h", "left_semi")
-        return rows.select((F.col("start") + F.col("i")).alias("pos"), F.substr("b", F.col("i") + 1, F.lit(cap)).alias("w"))
+        rows = self.tiles.select("start", at, b.alias("__b"))
+        pos, w = (F.col("start") + F.col("i")).alias("pos"), F.substr("__b", F.col("i") + 1, F.lit(cap)).alias("w")
+        if head is None:
+            return rows.select(pos, w)
+        h = F.substr("__b", F.col("i") + 1, F.lit(k)).alias("h")
+        more = [c for c in head.columns if c != "h"]
+        if small(head) if few is None else few:
+            return rows.select("start", "i", "__b", h).join(F.broadcast(head), "h").select(pos, w, *more)
+        return rows.select(pos, w, h).join(head, "h").select("pos", "w", *more)
+
+
+def small(rows: DataFrame) -> bool:
+    """Whether rows are few enough, by a count of their bytes, to be sent to every task."""
+    size = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in rows.columns), F.lit(64))
+    return int(rows.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]) <= SMALL
 
 
 def contigs(docs: DataFrame, key: str = "doc_id", text: str = "text", encode: bool = True) -> DataFrame:
     """contig_id, name, seq, len, offset: documents as contigs in the order of their key. Null texts are empty contigs."""
     seq = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(key).alias("contig_id"), F.col(key).cast("string").alias("name"), (bases.encode_text(seq) if encode else F.upper(seq)).alias("seq"))
-    sizes = rows.select("contig_id", "name", F.length("seq").cast("long").alias("len"))
+    # encoding keeps a text's length, so the offsets need no encoded text
+    sizes = docs.select(F.col(key).alias("contig_id"), F.col(key).cast("string").alias("name"), F.length(seq if encode else F.upper(seq)).cast("long").alias("len"))
     return rows.join(global_offsets(sizes, ["contig_id"], "len"), ["contig_id", "name"]).select("contig_id", "name", "seq", "len", "offset")
 
 
@@ -67,10 +83,12 @@ def build(contigs: DataFrame, ahead: int = 512, contig_safe: bool = False, tile:
     both = rows.select(F.col("offset").alias("at"), "seq", "len").unionByName(rows.select((F.lit(2 * length) - F.col("offset") - F.col("len")).alias("at"), bases.reverse_complement("seq").alias("seq"), "len"))
     both = both if strands == 2 else rows.select(F.col("offset").alias("at"), "seq", "len")
     b = F.col("seq").cast("binary")
+    # a tile grows to a row for each base later: tiles are few bytes, but their number of partitions must not shrink with them
+    parts = int(contigs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if contig_safe:
         cut = F.explode(F.sequence(F.lit(0).cast("long"), F.col("len") - 1, F.lit(tile).cast("long"))).alias("i")
         tiles = both.select("at", "seq", "len", cut).select((F.col("at") + F.col("i")).alias("start"), F.least(F.lit(tile).cast("long"), F.col("len") - F.col("i")).cast("int").alias("size"), F.substr(b, F.col("i").cast("int") + 1, F.lit(tile + ahead)).cast("string").alias("seq"))
-        return Text(tiles, length, ahead)
+        return Text(tiles.repartition(parts, "start"), length, ahead)
     # a piece goes to every tile that it has bases in, its own stretch or the stretch ahead
     first = F.greatest(F.floor((F.col("at") - ahead) / tile), F.lit(0))
     last = F.floor((F.col("at") + F.col("len") - 1) / tile)
@@ -79,7 +97,7 @@ def build(contigs: DataFrame, ahead: int = 512, contig_safe: bool = False, tile:
     hi = F.least(F.col("at") + F.col("len"), F.col("t") * tile + tile + ahead)
     pieces = pieces.where(lo < hi).select("t", lo.alias("lo"), F.substr(b, (lo - F.col("at")).cast("int") + 1, (hi - lo).cast("int")).cast("string").alias("part"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("lo", "part"))), lambda x: x.part), "")
-    tiles = pieces.groupBy("t").agg(joined.alias("seq")).select((F.col("t") * tile).alias("start"), F.least(F.lit(tile).cast("long"), F.lit(strands * length) - F.col("t") * tile).cast("int").alias("size"), "seq")
+    tiles = pieces.repartition(parts, "t").groupBy("t").agg(joined.alias("seq")).select((F.col("t") * tile).alias("start"), F.least(F.lit(tile).cast("long"), F.lit(strands * length) - F.col("t") * tile).cast("int").alias("size"), "seq")
     return Text(tiles, length, ahead)
 
 
