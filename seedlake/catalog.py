@@ -178,6 +178,31 @@ def forward_spectrum(spark, d):
     return search.forward_spectrum(doubled(spark, d), q, starts=False).select("qid", "occ", F.col("match_len").cast("long").alias("match_len"))
 
 
+def forward_spectrum_tabled(spark, d):
+    q, t = reads(spark, d).withColumnRenamed("rid", "qid"), doubled(spark, d)
+    found = search.forward_spectrum(t, q, starts=False, table=durable(suffix.kmer_table(t, 6)), k=6)
+    return found.select("qid", "occ", F.col("match_len").cast("long").alias("match_len"))
+
+
+def hinted(spark, d):
+    """Reads, each with a rank to start from, in the text of the passages: of a suffix that begins with its bases 31 to 50."""
+    t = stored(small(spark, d))
+    sa = durable(suffix.suffix_array(t))
+    rows = reads(spark, d).select(F.col("rid").alias("qid"), "seq", F.expr("substring(seq, 31, 20)").alias("pattern")).where("length(pattern) = 20 and not contains(pattern, 'N')")
+    at = search.intervals(t, rows).where("occ > 0").select("pattern", F.col("sa_start").alias("hint"))
+    return t, sa, durable(rows.join(at, "pattern").drop("pattern"))
+
+
+def mem_search_from_hint(spark, d):
+    t, sa, rows = hinted(spark, d)
+    return search.from_hint(t, sa, rows.select("qid", F.expr("substring(seq, 31)").alias("seq"), "hint"), interval=True)
+
+
+def mem_search_backward_from_hint(spark, d):
+    t, sa, rows = hinted(spark, d)
+    return search.backward_from_hint(t, sa, rows.select("qid", "seq", F.lit(30).alias("pivot"), F.lit(20).alias("anchor"), "hint"), interval=True)
+
+
 def backward_spectrum(spark, d):
     a = reads(spark, d).select(F.col("rid").alias("qid"), "seq", F.lit(40).alias("pivot"), F.lit(12).alias("anchor"))
     return search.backward_spectrum(doubled(spark, d), a).select("qid", F.col("step_no").cast("long").alias("step_no"), F.col("match_len").cast("long").alias("match_len"), "occ")
@@ -242,7 +267,8 @@ def concordance_mapq(spark, d):
 QUERIES = (
     encode_documents, kmer_scalars, text_stats, n_runs, homopolymer_windows, interval_merge, interval_merge_touching, interval_pad_merge,
     interval_covered, kmer_counts, keepset_runs, keepset_stats, halo_runs, present_first, present_any, gate_misroute, bloom_gate,
-    suffix_array, suffix_positions, kmer_table, pattern_intervals, range32, mem_search, forward_spectrum, backward_spectrum, smems_pass1,
+    suffix_array, suffix_positions, kmer_table, pattern_intervals, range32, mem_search, forward_spectrum, forward_spectrum_tabled, mem_search_from_hint,
+    mem_search_backward_from_hint, backward_spectrum, smems_pass1,
     smems_collect, learned_leaves, learned_lookup, learned_errors, learned_within, concordance_report, concordance_mapq,
 )
 
@@ -297,6 +323,9 @@ def oracle_sql() -> dict[str, str]:
     keep = f"{plain}{kmers}, tk AS (SELECT DISTINCT m FROM n JOIN tg ON pos >= a AND pos < b), few AS (SELECT m FROM n WHERE m IN (SELECT m FROM tk) GROUP BY m HAVING count(*) <= 8), s AS (SELECT pos AS a, pos + 1 AS b FROM n WHERE m IN (SELECT m FROM few) UNION ALL SELECT a, b FROM tg), k AS (SELECT greatest(start - 5, 0) AS a, least(\"end\" + 5, (SELECT sum(len) FROM o)::BIGINT) AS b FROM {merged('SELECT * FROM s', '<=')})"
     halo = f"{plain}{kmers}, tk AS (SELECT DISTINCT m FROM n JOIN tg ON pos + 24 > a AND pos < b), few AS (SELECT m FROM n WHERE m IN (SELECT m FROM tk) GROUP BY m HAVING sum(CASE WHEN m = {RC.format('m')} THEN 2 ELSE 1 END) <= 8), s AS (SELECT pos AS a, pos + 24 AS b FROM n WHERE m IN (SELECT m FROM few) UNION ALL SELECT a, b FROM tg)"
     sa = f"{bench}sa AS (SELECT row_number() OVER (ORDER BY w) - 1 AS rank, pos, rpad(substr(w, 1, 32), 32, 'T') AS key FROM (SELECT i AS pos, substr(t, (i + 1)::BIGINT) AS w FROM two, range(0, 1000000) g(i) WHERE i <= length(t)))"
+    ranked = f"{bench}sa AS (SELECT row_number() OVER (ORDER BY w) - 1 AS rank, pos, substr(w, 1, 512) AS s FROM (SELECT i AS pos, substr(t, (i + 1)::BIGINT) AS w FROM two, range(0, 1000000) g(i) WHERE i <= length(t)))"
+    hint = f"{ranked}, k AS (SELECT substr(s, 1, 20) AS key, arg_min(pos, rank) AS pos FROM sa GROUP BY 1), h AS (SELECT rid AS qid, seq, pos FROM r JOIN k ON key = substr(seq, 31, 20) WHERE length(key) = 20)"
+    hint_end = "SELECT qid, n::BIGINT AS match_len, min(rank) AS sa_start, count(*) AS occ FROM p JOIN sa ON starts_with(s, pat) GROUP BY qid, n"
     seeds = f"{R}, q AS (SELECT rid, p, substr(seq, (p + 1)::BIGINT, 19) AS h, substr(seq, (p + 1)::BIGINT) AS q FROM r, range(0, 5000) g(p) WHERE p + 19 <= length(seq)), qq AS (SELECT * FROM q WHERE h NOT LIKE '%N%'), big AS (SELECT substr(seq, (k + 1)::BIGINT, 19) AS h, substr(seq, (k + 1)::BIGINT, 1000) AS w FROM ext, range(0, 1000) g(k) WHERE k < size), met AS (SELECT rid, p, q, w FROM qq JOIN big USING (h)), lcp AS (SELECT rid, p, (SELECT max(l) FROM range(19, 1001) g(l) WHERE l <= length(q) AND l <= length(w) AND left(q, l) = left(w, l)) AS l FROM met), best AS (SELECT rid, p, max(l) AS l FROM lcp GROUP BY rid, p), top AS (SELECT b.rid, b.p, b.l, count(*) AS s FROM best b JOIN lcp USING (rid, p, l) GROUP BY ALL)"
     prefixes = f"{R}, heads AS (SELECT substr(seq, (k + 1)::BIGINT, 11) AS h, count(*) AS n FROM ext, range(0, 1000) g(k) WHERE k < size GROUP BY 1), short AS (SELECT qid, m, sum(n)::BIGINT AS occ FROM (SELECT rid AS qid, m, left(seq, m) AS pat FROM (<from>) r, range(1, 12) g(m) WHERE m <= length(seq) AND left(seq, m) NOT LIKE '%N%') JOIN heads ON left(h, m) = pat AND length(h) >= m GROUP BY ALL), q AS (SELECT rid AS qid, seq AS q, left(seq, 12) AS h FROM (<from>) r WHERE length(seq) >= 12 AND left(seq, 12) NOT LIKE '%N%'), big AS (SELECT substr(seq, (k + 1)::BIGINT, 12) AS h, substr(seq, (k + 1)::BIGINT, 1000) AS w FROM ext, range(0, 1000) g(k) WHERE k < size), lcp AS (SELECT qid, (SELECT max(l) FROM range(12, 1001) g(l) WHERE l <= length(q) AND l <= length(w) AND left(q, l) = left(w, l)) AS l FROM q JOIN big USING (h)), long AS (SELECT qid, m, count(*) AS occ FROM lcp, range(12, 1001) g(m) WHERE m <= l GROUP BY ALL), counts AS (SELECT qid, m, occ FROM short UNION ALL SELECT qid, m, occ FROM long)"
     forward = flat + prefixes.replace("<from>", "SELECT * FROM r")
@@ -331,6 +360,9 @@ def oracle_sql() -> dict[str, str]:
         "range32": f"{flat}{R}, {windows(32)}, q AS (SELECT rid, piv, substr(seq, (piv + 1)::BIGINT, 32) AS h FROM r, (VALUES (0), (10), (40), (100), (300)) v(piv)) SELECT rid, piv AS \"pivot\", count(w.w) AS occ FROM q LEFT JOIN w ON w.w = q.h AND length(h) = 32 GROUP BY rid, piv",
         "mem_search": f"{forward}, {top} SELECT r.rid AS qid, coalesce(match_len, 0)::BIGINT AS match_len, coalesce(occ, 0)::BIGINT AS occ, coalesce(sa_start, 0)::BIGINT AS sa_start FROM r LEFT JOIN pp ON qid = r.rid LEFT JOIN lo ON lo.qid = r.rid",
         "forward_spectrum": f"{forward} SELECT qid, occ::BIGINT AS occ, max(m) AS match_len FROM counts GROUP BY qid, occ",
+        "forward_spectrum_tabled": f"{forward} SELECT qid, occ::BIGINT AS occ, max(m) AS match_len FROM counts GROUP BY qid, occ",
+        "mem_search_from_hint": f"{hint}, f AS (SELECT qid, max(l) AS n FROM h, two, range(20, 1001) g(l) WHERE l <= length(seq) - 30 AND substr(seq, 31, l::BIGINT) = substr(t, (pos + 1)::BIGINT, l::BIGINT) GROUP BY qid), p AS (SELECT qid, n, substr(seq, 31, n::BIGINT) AS pat FROM f JOIN h USING (qid)) {hint_end}",
+        "mem_search_backward_from_hint": f"{hint}, f AS (SELECT qid, max(l) AS n FROM h, two, range(0, 31) g(l) WHERE l <= pos AND substr(seq, (31 - l)::BIGINT, l::BIGINT) = substr(t, (pos + 1 - l)::BIGINT, l::BIGINT) GROUP BY qid), p AS (SELECT qid, n + 20 AS n, substr(seq, (31 - n)::BIGINT, (n + 20)::BIGINT) AS pat FROM f JOIN h USING (qid)) {hint_end}",
         "backward_spectrum": f"{flat}{prefixes.replace('<from>', back)} SELECT qid, m - 13 AS step_no, m AS match_len, occ::BIGINT AS occ FROM counts WHERE m > 12",
         "smems_pass1": f"{flat}{seeds} SELECT rid, p AS m, p + l - 1 AS n, s FROM (SELECT *, lag(p) OVER w AS pp, lag(p + l) OVER w AS pe FROM top WINDOW w AS (PARTITION BY rid ORDER BY p)) WHERE NOT coalesce(pp = p - 1 AND pe >= p + l, false)",
         "learned_leaves": f"{sa} SELECT ((instr('ACGT', left(key, 1)) - 1) * 4 + instr('ACGT', substr(key, 2, 1)) - 1)::BIGINT AS leaf, count(*) AS n, min(rank) AS first, max(rank) AS last FROM sa WHERE pos < (SELECT length(t) FROM two) - 30 GROUP BY 1",

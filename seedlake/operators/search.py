@@ -127,14 +127,20 @@ def prefixes(queries: DataFrame, most: int) -> DataFrame:
     return queries.select(F.col("qid"), "seq", m).select("qid", "m", F.left("seq", "m").alias("pattern"))
 
 
-def match_counts(text: Text, queries: DataFrame) -> DataFrame:
+def match_counts(text: Text, queries: DataFrame, table: DataFrame | None = None, k: int = 0) -> DataFrame:
     """qid, lo, hi, occ: the first lo to hi bases of a query (qid, seq) occur `occ` times; only where occ > 0.
 
-    Under SEED bases each length is counted by itself, beyond by the profile.
+    Under SEED bases each length is counted by itself, up to k bases from a k-mer table (m, w, lo, hi) where one is given, beyond
+    by the profile.
     """
     most = longest(queries)
     short = prefixes(queries, SEED - 1)
+    if table is not None:
+        known = short.where(F.col("m") <= k).withColumn("w", bases.lex_index("pattern")).join(table, ["m", "w"]).where("hi > lo")
+        known = known.select("qid", F.col("m").alias("lo"), F.col("m").alias("hi"), (F.col("hi") - F.col("lo")).cast("long").alias("occ"))
+        short = short.where(F.col("m") > k)
     counts = short.join(pattern_counts(text, short), "pattern").where("occ > 0").select("qid", F.col("m").alias("lo"), F.col("m").alias("hi"), "occ")
+    counts = counts if table is None else counts.unionByName(known)
     if most < SEED:
         return counts
     b = F.col("seq").cast("binary")
@@ -151,9 +157,10 @@ def with_starts(text: Text, steps: DataFrame, queries: DataFrame) -> DataFrame:
     return rows.join(lower_bounds(text, rows), "pattern").drop("pattern")
 
 
-def forward_spectrum(text: Text, queries: DataFrame, starts: bool = True) -> DataFrame:
-    """qid, step_no, sa_start, occ, match_len: a row for each count that prefixes of a query have, with the longest of them."""
-    steps = match_counts(text, queries).groupBy("qid", "occ").agg(F.max("hi").alias("match_len"))
+def forward_spectrum(text: Text, queries: DataFrame, starts: bool = True, table: DataFrame | None = None, k: int = 0) -> DataFrame:
+    """qid, step_no, sa_start, occ, match_len: a row for each count that prefixes of a query have, with the longest of them.
+    table: the k-mer table of the text, which answers the first k lengths."""
+    steps = match_counts(text, queries, table, k).groupBy("qid", "occ").agg(F.max("hi").alias("match_len"))
     steps = steps.withColumn("step_no", F.row_number().over(Window.partitionBy("qid").orderBy("match_len")) - 1)
     return with_starts(text, steps, queries) if starts else steps
 
@@ -223,12 +230,39 @@ def mem_search_backward(text: Text, anchors: DataFrame) -> DataFrame:
     return best.select("qid", F.when(short, 0).otherwise(F.col("match_len")).alias("match_len"), F.when(short, 0).otherwise(F.col("occ")).cast("long").alias("occ"))
 
 
-def from_hint(text: Text, sa: DataFrame, queries: DataFrame) -> DataFrame:
-    """qid, match_len: how many bases each query (qid, seq, hint) shares with the suffix of rank `hint`."""
+def _hinted(sa: DataFrame, rows: DataFrame) -> DataFrame:
+    """rows (hint) with pos, the place of the suffix of rank `hint`; none for rank 0 (the end marker's) and ranks that don't exist."""
+    return rows.where("hint > 0").join(sa.select(F.col("rank").alias("hint"), "pos"), "hint")
+
+
+def _hint_results(text: Text, rows: DataFrame, found: DataFrame, interval: bool) -> DataFrame:
+    """qid, match_len (and sa_start, occ of the pattern) of found (qid, match_len, pattern); zeros for the other rows."""
+    cols = ["match_len"]
+    if interval:
+        found = durable(found)
+        found, cols = found.join(bounds(text, found.where("match_len > 0")), "pattern", "left"), ["match_len", "sa_start", "occ"]
+    zero = F.lit(0).cast("long")
+    return rows.select("qid").join(found, "qid", "left").select("qid", *[F.coalesce(F.col(c).cast("long"), zero).alias(c) for c in cols])
+
+
+def from_hint(text: Text, sa: DataFrame, queries: DataFrame, interval: bool = False) -> DataFrame:
+    """qid, match_len (and sa_start, occ of as many bases): how many bases each query (qid, seq, hint) shares with the suffix of
+    rank `hint`. Where that suffix begins with the query's longest match this is what mem_search gives. Zeros without a hint."""
     most = longest(queries)
-    at = queries.join(sa.select(F.col("rank").alias("hint"), "pos"), "hint")
-    rows = text.suffixes(most).join(at, "pos")
-    return rows.select("qid", bases.common_prefix(F.col("seq").cast("binary"), F.col("w"), most).alias("match_len"))
+    shared = bases.common_prefix(F.col("seq").cast("binary"), F.col("w"), most)
+    found = text.at(_hinted(sa, queries), most).select("qid", "seq", shared.alias("match_len"))
+    return _hint_results(text, queries, found.select("qid", "match_len", F.left("seq", "match_len").alias("pattern")), interval)
+
+
+def backward_from_hint(text: Text, sa: DataFrame, anchors: DataFrame, interval: bool = False) -> DataFrame:
+    """qid, match_len (and sa_start, occ of the whole span): how far each anchor (qid, seq, pivot, anchor, hint) reaches to the left
+    at the place of rank `hint`, its own bases counted. What lies left of a place is, turned round, what follows its mirror place."""
+    rows = _hinted(sa, anchors).withColumn("pos", F.lit(text.total) - F.col("pos"))
+    left = anchors.agg(F.coalesce(F.max("pivot"), F.lit(0))).first()[0]
+    turned = bases.reverse_complement(F.left("seq", "pivot")).cast("binary")
+    more = F.lit(0) if not left else bases.common_prefix(turned, F.col("w"), int(left))
+    found = text.at(rows, max(int(left), 1)).withColumn("more", more).select("qid", (F.col("anchor") + F.col("more")).alias("match_len"), F.expr("substring(seq, pivot - more + 1, anchor + more)").alias("pattern"))
+    return _hint_results(text, anchors, found, interval)
 
 
 def range32(text: Text, reads: DataFrame, pivots: list[int]) -> DataFrame:

@@ -60,6 +60,17 @@ class Text:
             return rows.select("start", "i", "__b", h).join(F.broadcast(head), "h").select(pos, w, *more)
         return rows.select(pos, w, h).join(head, "h").select("pos", "w", *more)
 
+    def at(self, rows: DataFrame, cap: int) -> DataFrame:
+        """rows (pos, ...) with w: up to `cap` bases from their place on (none at or past the end). Rows meet tiles, not places."""
+        self.check(cap)
+        block = lambda at: F.floor(at / TILE)
+        end = F.col("start") + F.col("size")
+        tiles = self.tiles.where("size > 0").select("start", end.alias("stop"), "seq", F.explode(F.sequence(block(F.col("start")), block(end - 1))).alias("block")).alias("t")
+        asked = rows.withColumn("__block", block(F.col("pos"))).alias("q")
+        hit = (F.col("q.__block") == F.col("t.block")) & (F.col("q.pos") >= F.col("t.start")) & (F.col("q.pos") < F.col("t.stop"))
+        w = F.substr(F.col("t.seq").cast("binary"), (F.col("q.pos") - F.col("t.start")).cast("int") + 1, F.lit(cap))
+        return asked.join(tiles, hit, "left").select(*[F.col(f"q.{c}") for c in rows.columns], F.coalesce(w, F.lit("").cast("binary")).alias("w"))
+
 
 def small(rows: DataFrame) -> bool:
     """Whether rows are few enough, by a count of their bytes, to be sent to every task."""

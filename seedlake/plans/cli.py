@@ -24,6 +24,14 @@ def parser() -> argparse.ArgumentParser:
     b.add_argument("--bloom-rate", type=float)
     b.add_argument("--kmer-table-k", type=int, default=6)
     b.add_argument("--leaves", type=int)
+    b.add_argument("--routing-pad", type=int, default=0)
+    b.add_argument("--no-mask-n-runs", action="store_true")
+    b.add_argument("--mask-homopolymers", type=int, metavar="K")
+    b.add_argument("--mask-bed")
+    b.add_argument("--prior-bed")
+    b.add_argument("--prior-bed-weight", type=float, default=10.0)
+    b.add_argument("--prior-fastq-histogram")
+    b.add_argument("--prior-fastq-base-weight", type=float, default=1.0)
     for name in ("info", "inspect"):
         sub.add_parser(name).add_argument("index")
     k = sub.add_parser("keepset")
@@ -41,18 +49,32 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def check_build(a: argparse.Namespace) -> None:
+    """Options of build that don't go together."""
+    if a.bloom_rate is not None and not a.keep_bed:
+        raise SystemExit("--bloom-rate needs --keep-bed")
+    if a.routing_pad and a.bloom_rate is None:
+        raise SystemExit("--routing-pad needs --bloom-rate")
+    if a.prior_bed and a.prior_bed == a.mask_bed:
+        raise SystemExit("--prior-bed and --mask-bed name the same file")
+    if a.prior_bed and a.prior_fastq_histogram:
+        raise SystemExit("--prior-bed and --prior-fastq-histogram exclude each other")
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     a = parser().parse_args(argv)
-    if a.command == "build" and a.bloom_rate is not None and not a.keep_bed:
-        raise SystemExit("--bloom-rate needs --keep-bed")
+    if a.command == "build":
+        check_build(a)
     spark = spark or SparkSession.builder.appName("seedlake").getOrCreate()
     if a.command == "build":
         if a.fasta:
             contigs = readers.fasta(spark, a.fasta)
         else:
             contigs = readers.pac(spark, a.pac).selectExpr("cast(0 as long) as contig_id", "name", "seq", "len", "cast(0 as long) as offset")
-        keep = readers.bed(spark, a.keep_bed) if a.keep_bed else None
-        Index.build(contigs, BuildConfig(kmer_table_k=a.kmer_table_k, bloom_rate=a.bloom_rate, leaves=a.leaves), keep).save(a.out)
+        keep, mask, prior = (readers.bed(spark, path) if path else None for path in (a.keep_bed, a.mask_bed, a.prior_bed))
+        histogram = readers.histogram(spark, a.prior_fastq_histogram) if a.prior_fastq_histogram else None
+        config = BuildConfig(kmer_table_k=a.kmer_table_k, bloom_rate=a.bloom_rate, leaves=a.leaves, mask_n=not a.no_mask_n_runs, homopolymer=a.mask_homopolymers, prior_weight=a.prior_bed_weight, prior_base=a.prior_fastq_base_weight, routing_pad=a.routing_pad)
+        Index.build(contigs, config, keep, mask, prior, histogram).save(a.out)
     elif a.command == "info":
         Index.open(spark, a.index).info().show(100, False)
     elif a.command == "inspect":

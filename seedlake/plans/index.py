@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import gates, keepset, learned, search, smem, suffix, text
-from ..operators.intervals import keep_doubled
+from ..operators.intervals import keep_doubled, pad_and_merge
 from ..operators.store import durable
 
 FORMAT = 1
@@ -40,8 +40,17 @@ class BuildConfig:
     leaves: int | None = None
     threshold: int = 1000
     partial: int = 20
+    mask_n: bool = True
+    homopolymer: int | None = None
+    prior_weight: float = 10.0
+    prior_base: float = 1.0
+    routing_pad: int = 0
 
     def __post_init__(self):
+        if self.prior_weight <= 0 or self.prior_base <= 0:
+            raise ValueError("prior weights must be over 0")
+        if self.routing_pad < 0 or self.routing_pad and not self.bloom_rate:
+            raise ValueError("routing_pad widens what the Bloom filter holds: it needs bloom_rate")
         if self.bloom_rate is not None and not 0 < self.bloom_rate < 1:
             raise ValueError("bloom_rate must lie between 0 and 1")
         if self.train and not self.store_sa:
@@ -56,25 +65,37 @@ class Index:
         self.text = text.Text(tables["tiles"], meta["length"], meta["ahead"])
 
     @staticmethod
-    def build(contigs: DataFrame, config: BuildConfig = BuildConfig(), keep: DataFrame | None = None) -> Index:
-        """keep: forward intervals; a tiered index learns and gates on the places in them only."""
+    def build(contigs: DataFrame, config: BuildConfig = BuildConfig(), keep: DataFrame | None = None, mask: DataFrame | None = None, prior: DataFrame | None = None, histogram: DataFrame | None = None) -> Index:
+        """keep: forward intervals; a tiered index learns and gates on the places in them only (the gate's widened by routing_pad).
+        mask: doubled intervals whose places the model doesn't learn, besides windows over N (mask_n) and with long runs of one base
+        (homopolymer). prior: doubled intervals that weigh prior_weight; or histogram (key, count), which weighs keys."""
+        if prior is not None and histogram is not None:
+            raise ValueError("weights come from intervals or from a histogram, not from both")
+        if config.routing_pad and keep is None:
+            raise ValueError("routing_pad needs intervals to keep")
         spark, tables = contigs.sparkSession, {"contigs": contigs.select("contig_id", "name", "len", "offset")}
         t = text.build(contigs, config.ahead, config.contig_safe)
         tables["tiles"] = durable(t.tiles)
         t = text.Text(tables["tiles"], t.length, t.ahead)
-        meta = {"format": FORMAT, "length": t.length, "total": t.total, "ahead": t.ahead, "digest": digest_of(tables["tiles"]), "tiered": keep is not None, "config": asdict(config)}
+        meta = {"format": FORMAT, "length": t.length, "total": t.total, "ahead": t.ahead, "digest": digest_of(tables["tiles"]), "tiered": keep is not None, "masked": mask is not None, "prior": "intervals" if prior is not None else "histogram" if histogram is not None else None, "config": asdict(config)}
         if config.kmer_table_k:
             tables["kmt"] = suffix.kmer_table(t, config.kmer_table_k)
         if config.store_sa:
             tables["sa"] = durable(suffix.suffix_array(t))
         if config.train:
-            pairs = durable(learned.training_set(tables["sa"], t, keep=keep))
-            n = pairs.count() if keep is not None else t.total + 1
+            runs = text.n_runs(contigs) if config.mask_n else None
+            pairs = learned.training_set(tables["sa"], t, mask=mask, keep=keep, n_windows=runs, homopolymer=config.homopolymer)
+            if prior is not None:
+                pairs = learned.bed_weights(pairs, prior, config.prior_weight)
+            if histogram is not None:
+                pairs = learned.histogram_weights(pairs, histogram, config.prior_base)
+            pairs = durable(pairs)
+            n = keep_doubled(tables["sa"], keep, t.length).count() if keep is not None else t.total + 1
             model = learned.train(pairs, n, learned.Config(config.leaves, config.threshold, config.partial))
             tables["l2"], tables["l1"] = model.l2, model.l1
             meta |= {"leaves": model.leaves, "ranks": n, "max_error": learned.max_error_bound(model, pairs)}
         if config.bloom_rate:
-            keys = t.windows(32).select("w").distinct() if keep is None else _kept_windows(t, keep)
+            keys = t.windows(32).select("w").distinct() if keep is None else _kept_windows(t, pad_and_merge(keep, config.routing_pad, t.length))
             params = gates.BloomParams.for_keys(keys.count(), config.bloom_rate)
             tables["bloom"] = gates.bloom_blocks(keys, params)
             meta |= {"bloom_bits": params.bits, "bloom_hashes": params.hashes}
@@ -161,11 +182,28 @@ class Index:
     def mem_search_backward(self, anchors: DataFrame) -> DataFrame:
         return search.mem_search_backward(self.text, anchors)
 
-    def mem_search_from_hint(self, queries: DataFrame) -> DataFrame:
-        return search.from_hint(self.text, self.tables["sa"], queries)
+    def mem_search_warmstart(self, queries: DataFrame) -> DataFrame:
+        """As mem_search: a hint changes no result, and a join needs no place to start from."""
+        return self.mem_search(queries.drop("hint"))
+
+    def mem_search_from_hint(self, queries: DataFrame, interval: bool = False) -> DataFrame:
+        return search.from_hint(self.text, self.tables["sa"], queries, interval)
+
+    def mem_search_backward_from_hint(self, anchors: DataFrame, interval: bool = False) -> DataFrame:
+        return search.backward_from_hint(self.text, self.tables["sa"], anchors, interval)
+
+    def truncated(self, queries: DataFrame, least_occ: int, anchor: int = 0) -> DataFrame:
+        return search.truncated(self.text, queries, least_occ, anchor)
+
+    def truncate_below_maximal(self, queries: DataFrame, least_occ: int) -> DataFrame:
+        return search.truncate_below_maximal(self.text, queries, least_occ)
+
+    def first_below(self, queries: DataFrame, longer_than: int, fewer_than: int) -> DataFrame:
+        return search.first_below(self.text, queries, longer_than, fewer_than)
 
     def forward_spectrum(self, queries: DataFrame) -> DataFrame:
-        return search.forward_spectrum(self.text, queries)
+        """With the k-mer table where the index holds one."""
+        return search.forward_spectrum(self.text, queries, table=self.tables.get("kmt"), k=self.meta["config"]["kmer_table_k"])
 
     def backward_spectrum(self, anchors: DataFrame) -> DataFrame:
         return search.backward_spectrum(self.text, anchors)

@@ -11,6 +11,7 @@ from seedlake.functions import bases
 from seedlake.functions import sql as sql_functions
 from seedlake.operators import concordance, gates, intervals, keepset, learned, smem, suffix, text
 from seedlake.operators.store import durable
+from seedlake.plans import cli
 from seedlake.plans.index import BuildConfig, FormatError, Index
 from seedlake.sources import readers, writers
 from seedlake.streaming import seeding
@@ -144,6 +145,41 @@ def test_index_and_stream(spark, genome, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, smem.collect(index.text, reads).collect()))
 
 
+def test_masks_and_priors(spark, genome):
+    flat, contigs = genome
+    spans = lambda *rows: spark.createDataFrame(list(rows), "start long, end long")
+    plain = dict(kmer_table_k=0, leaves=16)
+    learned_from = lambda config, **more: sum(r.n for r in Index.build(contigs, config, **more).inspect()["kinds"].collect())
+    assert learned_from(BuildConfig(**plain, homopolymer=20), mask=spans((0, 400)), prior=spans((500, 600))) == 16
+    same = Index.build(contigs, BuildConfig(**plain), histogram=spark.createDataFrame([(7, 2)], "key long, count long"))
+    assert same.meta["prior"] == "histogram" and same.meta["config"]["mask_n"]
+    index = Index.build(contigs, BuildConfig(ahead=64, bloom_rate=0.001, routing_pad=50, **plain), keep=spans((200, 260)))
+    # the read lies 40 bases in front of what is kept: the filter has it only with the pad
+    read = spark.createDataFrame([(0, flat[160:200])], "rid int, seq string")
+    assert index.present(read, "bloom_first").first().present
+    tight = Index.build(contigs, BuildConfig(ahead=64, bloom_rate=0.001, **plain), keep=spans((200, 260)))
+    assert not tight.present(read, "bloom_first").first().present and tight.meta["ranks"] == 2 * 60 + 1
+    for wrong in (dict(routing_pad=5), dict(prior_weight=0.0), dict(prior_base=-1.0)):
+        with pytest.raises(ValueError):
+            BuildConfig(**wrong)
+    with pytest.raises(ValueError):
+        Index.build(contigs, BuildConfig(**plain), prior=spans((0, 9)), histogram=spans((0, 9)))
+
+
+def test_command_line(spark, tmp_path, capsys):
+    (tmp_path / "a.fa").write_text(">a\n" + "".join(random.Random(2).choices("ACGT", k=300)) + "\n")
+    (tmp_path / "a.bed").write_text("a\t10\t90\n")
+    (tmp_path / "h.tsv").write_text("5\t3\n")
+    fa, bed, out = (str(tmp_path / x) for x in ("a.fa", "a.bed", "ix"))
+    build = ["build", "--fasta", fa, "--out", out]
+    for wrong in (["--bloom-rate", "0.1"], ["--routing-pad", "3"], ["--prior-bed", bed, "--mask-bed", bed], ["--prior-bed", bed, "--prior-fastq-histogram", str(tmp_path / "h.tsv")]):
+        with pytest.raises(SystemExit):
+            cli.main([*build, *wrong], spark)
+    assert cli.main([*build, "--kmer-table-k", "2", "--leaves", "16", "--mask-homopolymers", "12", "--mask-bed", bed, "--prior-fastq-histogram", str(tmp_path / "h.tsv")], spark) == 0
+    assert cli.main(["info", out], spark) == 0 and "max_error" in capsys.readouterr().out
+    assert cli.main(["sa-verify", "--fasta", fa], spark) == 0
+
+
 def test_files(spark, tmp_path):
     put = lambda name, s: (tmp_path / name).write_text(s) and str(tmp_path / name)
     contigs = readers.fasta(spark, put("a.fa", ">a desc\nACGT\nACGN\n>b\nGGgg\n"))

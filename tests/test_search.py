@@ -51,8 +51,12 @@ def below(two: str, p: str) -> int:
     return sum(two[i:] < p for i in range(len(two) + 1))
 
 
-def test_intervals(spark, case):
+@pytest.mark.parametrize("most", [None, 0])
+def test_intervals(spark, case, monkeypatch, most):
+    """Few patterns go to the text, many (most = 0: any) are dealt with it."""
     t, two, reads, _ = case
+    if most is not None:
+        monkeypatch.setattr(text, "SMALL", most)
     pats = sorted({r[a : a + n] for _, r in reads for a, n in ((0, 3), (0, 14), (4, 9), (2, 30), (7, 1), (5, 11), (3, 12))})
     for x in search.intervals(t, spark.createDataFrame([(p,) for p in pats], "pattern string")).collect():
         n = occ(two, x.pattern)
@@ -149,6 +153,24 @@ def test_suffix_array(spark, case):
     place = sa.where("rank = 7").first().pos
     shared = next((n for n in range(30) if two[place : place + n + 1] != two[30 : 31 + n]), 30)
     assert search.from_hint(t, sa, hint).first().match_len == shared
+    rank = {p: r for r, p in enumerate(sorted(range(len(two) + 1), key=lambda i: two[i:]))}
+    rows = [(j, two[p : p + 30] + "N", rank[p]) for j, p in enumerate((0, 250, 333, len(two) - 9))] + [(8, "ACGT", 0), (9, "ACGT", 10**6), (10, "NACG", 5)]
+    best = {x.qid: x for x in search.from_hint(t, sa, spark.createDataFrame(rows, "qid int, seq string, hint long"), interval=True).collect()}
+    for j, q, h in rows:
+        n = longest(two, q) if j < 8 else 0
+        assert tuple(best[j]) == ((j, n, below(two, q[:n]), occ(two, q[:n])) if n else (j, 0, 0, 0))
+    rows = [(j, "C" * j + two[p - 20 : p + 12], 20 + j, 12, rank[p]) for j, p in enumerate((20, 260, 500, len(two) - 12))] + [(8, two[:12], 0, 12, rank[0]), (9, two[:40], 9, 5, 0)]
+    deep = {x.qid: x for x in search.backward_from_hint(t, sa, spark.createDataFrame(rows, "qid int, seq string, pivot int, anchor int, hint long"), interval=True).collect()}
+    place = {r: p for p, r in rank.items()}
+    for j, q, pivot, anchor, h in rows:
+        more = 0
+        while h and more < min(pivot, place[h]) and q[pivot - more - 1] == two[place[h] - more - 1]:
+            more += 1
+        span = q[pivot - more : pivot + anchor]
+        assert tuple(deep[j]) == ((j, anchor + more, below(two, span), occ(two, span)) if h else (j, 0, 0, 0))
+    q = spark.createDataFrame([(j, r[1]) for j, r in enumerate(case[2])], "qid int, seq string")
+    steps = lambda **more: sorted(map(tuple, search.forward_spectrum(t, q, starts=False, **more).collect()))
+    assert steps(table=suffix.kmer_table(t, 3), k=3) == steps()
     table = {(r.m, r.w): (r.lo, r.hi) for r in suffix.kmer_table(t, 2).collect()}
     for i, w in enumerate(a + b for a in "ACGT" for b in "ACGT"):
         assert table[2, i] == (below(two, w), below(two, w) + occ(two, w))
