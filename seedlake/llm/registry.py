@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, html, language, licenses, lines, near, packing, quality, secrets
-from .common import documents
+from . import bpe, clusters, fingerprint, html, language, licenses, lines, near, oracle, packing, quality, secrets, turns, warc
+from .common import documents, shared_folder
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,9 +54,29 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(pages).select("page_id", "url", "text", "n_chars")
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    found = clusters.clusters(vectors, "vec_id", "embedding", k=8, rounds=10, dims=64, scale=1024, salt="3:")
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op12_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The archive is written to the shared folder; what is returned comes from its records as they are read again."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    path = f"{shared_folder(spark)}/archive-{uuid.uuid4().hex}"
+    warc.write(pages, path, "page_id", "url", "html", least=0)
+    size, kind = F.octet_length("payload").cast("long").alias("payload_bytes"), pages.schema["page_id"].dataType
+    return warc.read(spark, path).select(F.col("key").alias("page_id"), size, "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.repair(turns.damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")), gone=F.col("gone"))
+
+
 OPERATORS = (
     op1_byte_bpe, op2_minhash_near_dedup, op3_language_id, op4_secret_scan, op5_fingerprints,
     op6_line_dedup, op7_best_fit_packing, op8_quality_rules, op9_license_scan, op10_html_extraction,
+    op11_centroid_clusters, op12_warc_archive, op13_conversation_repair,
 )
 
 
@@ -103,6 +125,9 @@ def oracle_sql() -> dict[str, str]:
     phrases = [(label, "".join(f" {w} " for w in phrase.split())) for label, phrase in licenses.PHRASES]
     times = {label: f"(length(s) - length(replace(s, '{p}', ''))) // {len(p)}" for label, p in phrases}
     return {
+        "op11_centroid_clusters": oracle.centroid_clusters(),
+        "op12_warc_archive": oracle.warc_archive(),
+        "op13_conversation_repair": oracle.conversation_repair(),
         "base2_shingles": f"SELECT doc_id, CASE WHEN len(w) = 0 THEN 0 WHEN len(w) = 1 THEN 1 ELSE len(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) END::BIGINT AS n_shingles FROM (SELECT doc_id, regexp_extract_all({small}, '{word}') AS w FROM documents)",
         "base4_secrets": f"SELECT doc_id, {found(assign, 2, 6)} AS n_assign, {found('AKIA[A-Z0-9]+', 0, 20)} AS n_access, {found('[0-9a-f]+', 0, 24)} AS n_hex FROM documents",
         "base5_edits": "SELECT doc_id, n AS n_chars, sha256(left(t, n - n // 4) || left(after, n // 4)) AS edited_sha256 FROM (SELECT doc_id, t, length(t) AS n, coalesce(lead(t) OVER (ORDER BY doc_id), first_value(t) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS after FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))",
