@@ -10,7 +10,7 @@ counts and sums for each cluster, from which the next centroids come. Only k cen
 Rounds are tables in the shared folder; a round's table goes once the next one is written.
 
 Results in special cases: vectors of another size, null ones, or with null, NaN or infinite components are left out; components that
-don't fit the exact arithmetic (over 2^27 after scaling) are an error; equal distances go to the smaller number; repeated rows
+don't fit the exact arithmetic (over 2^27 after scaling) are an error, as are sums of distances over 2^63; equal distances go to the smaller number; repeated rows
 are vectors of their own; a null key is an empty text in the hash; with fewer vectors than k there are as many centroids; an empty
 table gives an empty result. Other columns of the input are not read.
 """

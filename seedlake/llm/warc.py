@@ -70,7 +70,7 @@ def unpacked(rows: DataFrame) -> DataFrame:
 def record_id(key: Column, uri: Column, digest: Column, copy: Column) -> Column:
     """<urn:x-record:key:hash>: the key can be read off it, the hash tells records with one key apart."""
     text = F.coalesce(key.cast("string"), F.lit(""))
-    return F.concat(F.lit("<urn:x-record:"), F.url_encode(text), F.lit(":"), F.md5(F.to_json(F.struct(text, uri, digest, copy), {"ignoreNullFields": "false"})), F.lit(">"))
+    return F.concat(F.lit("<urn:x-record:"), F.url_encode(text), F.lit(":"), F.md5(F.to_json(F.struct(text.alias("key"), uri.alias("uri"), digest.alias("digest"), copy.alias("copy")))), F.lit(">"))
 
 
 def write(rows: DataFrame, path: str, key: str, uri: str, payload: str, least: int = 0, date: str = "1970-01-01T00:00:00Z") -> None:
