@@ -57,6 +57,18 @@ def key_number(kmer: Column | str) -> Column:
     return (F.coalesce(high.cast("decimal(20,0)"), F.lit(0).cast("decimal(20,0)")) * F.lit(1 << 32).cast("decimal(20,0)") + low.cast("decimal(20,0)")).cast("decimal(20,0)")
 
 
+def key_long(seq: Column | str, by: str = "A") -> Column:
+    """The first 32 bases, filled up with `by`, as a signed number in the order of the bases: two bits a base, the first bit turned."""
+    digits = F.translate(F.rpad(_c(seq).cast("string"), KEY, by), "ACGT", "0123")
+    half = lambda i: F.conv(F.substr(digits, F.lit(i), F.lit(16)), 4, 10).cast("long")
+    return F.shiftleft(half(1) - (1 << 31), 32).bitwiseOR(half(17))
+
+
+def hex32(key: Column | str) -> Column:
+    """A key_long() as 16 hex digits of its unsigned value."""
+    return F.lpad(F.lower(F.hex(_c(key).bitwiseXOR(F.lit(-(1 << 63))))), 16, "0")
+
+
 def key_text(number: Column | str, size: int = KEY) -> Column:
     """The k-mer of an unsigned value (DECIMAL or BIGINT)."""
     n = _c(number).cast("decimal(20,0)")
