@@ -5,17 +5,21 @@ documents are the contigs (in order of doc_id), benchmark passages and conversat
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import bases
-from .operators import concordance, gates, intervals, keepset, learned, search, smem, suffix, text
-from .operators.store import durable
+from .operators import concordance, gates, indexed, intervals, keepset, learned, ranks, search, smem, suffix, text
+from .operators.store import durable, shared_folder
+from .plans.index import BuildConfig, Index
 
 AHEAD = 512
 LEAVES = 16
+#: The documents' index: common prefixes are told apart up to 512 bases; leaves with over 1000 keys get sub-leaves by joins.
+KEPT = BuildConfig(ahead=511, kmer_table_k=0, leaves=4096)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +48,19 @@ def small(spark: SparkSession, sf_dir: str) -> text.Text:
     return text.build(text.contigs(table(spark, sf_dir, "benchmark"), "item_id"), AHEAD)
 
 
+_INDEXES: dict[tuple[str, str], Index] = {}
+
+
+def kept_index(spark: SparkSession, sf_dir: str) -> Index:
+    """The index of all documents, built and saved once in an application and opened by every query that asks it."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+        Index.build(contigs(spark, sf_dir), KEPT).save(path)
+        _INDEXES[key] = Index.open(spark, path)
+    return _INDEXES[key]
+
+
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select((F.col("doc_id") * 7919 % 100000).alias("start"), (F.col("doc_id") * 7919 % 100000 + F.col("n_chars") % 97).alias("end"))
 
@@ -208,6 +225,112 @@ def backward_spectrum(spark, d):
     return search.backward_spectrum(doubled(spark, d), a).select("qid", F.col("step_no").cast("long").alias("step_no"), F.col("match_len").cast("long").alias("match_len"), "occ")
 
 
+def asked(spark, d):
+    return reads(spark, d).withColumnRenamed("rid", "qid")
+
+
+def longs(df: DataFrame, *columns: str) -> DataFrame:
+    return df.select(*[F.col(c).cast("long").alias(c) if c != "pattern" else c for c in columns])
+
+
+def index_intervals(spark, d):
+    """Whole passages and their first 24 bases in the kept index."""
+    rows = reads(spark, d)
+    pats = rows.select(F.left("seq", F.lit(24)).alias("pattern")).union(rows.select(F.col("seq").alias("pattern"))).where("not contains(pattern, 'N')")
+    return longs(kept_index(spark, d).intervals(pats), "pattern", "sa_start", "occ")
+
+
+def index_mem_search(spark, d):
+    return longs(kept_index(spark, d).mem_search(asked(spark, d)), "qid", "match_len", "occ", "sa_start")
+
+
+def index_forward_spectrum(spark, d):
+    return longs(kept_index(spark, d).forward_spectrum(asked(spark, d)), "qid", "step_no", "sa_start", "occ", "match_len")
+
+
+def index_spectrum_from_hint(spark, d):
+    """Each read from a rank in the middle of its longest match's interval; the steps are those of index_forward_spectrum."""
+    index = kept_index(spark, d)
+    found = durable(index.mem_search(asked(spark, d))).select("qid", (F.col("sa_start") + F.floor(F.col("occ") / 2)).alias("hint"))
+    return longs(index.forward_spectrum_from_hint(asked(spark, d).join(found, "qid")), "qid", "step_no", "sa_start", "occ", "match_len")
+
+
+def anchors(spark, d):
+    return asked(spark, d).select("qid", "seq", F.lit(40).alias("pivot"), F.lit(12).alias("anchor"))
+
+
+def index_backward_spectrum(spark, d):
+    return longs(kept_index(spark, d).backward_spectrum(anchors(spark, d)), "qid", "step_no", "match_len", "sa_start", "occ")
+
+
+def index_backward_from_hint(spark, d):
+    """Each anchor from the rank of its place in its longest extension; the steps are those of index_backward_spectrum."""
+    index, given = kept_index(spark, d), anchors(spark, d)
+    top = indexed.turned(index.ranks, index.text, indexed.leftmost(index.ranks, index.text, given, index.searcher))
+    at = top.join(given.select(F.col("qid").alias("id"), "anchor"), "id").select(F.col("id").alias("qid"), (F.col("pos") + F.col("size") - F.col("anchor")).alias("pos"))
+    hints = durable(index.isa_at(durable(at)).select("qid", F.col("rank").alias("hint")))
+    return longs(index.backward_spectrum_from_hint(given.join(hints, "qid")), "qid", "step_no", "match_len", "sa_start", "occ")
+
+
+def index_backward_truncated(spark, d):
+    """How far each anchor reaches to the left with two occurrences and more."""
+    return longs(kept_index(spark, d).backward_truncated(anchors(spark, d).withColumn("least_occ", F.lit(2))), "qid", "match_len", "sa_start", "occ")
+
+
+def index_smems_pass1(spark, d):
+    """The seeds of smems_pass1, in their order within a read and with how many there are, from the kept index."""
+    index, options = kept_index(spark, d), smem.Options()
+    top = indexed.statistics(index.ranks, index.text, reads(spark, d), options.min_seed_len, index.searcher)
+    found = smem.in_order(smem.pass1(durable(indexed.occurrences(index.ranks, top, options.min_seed_len))))
+    return longs(found, "rid", "at", "m", "n", "s", "needed")
+
+
+def index_places(spark, d):
+    """Ranks of all documents' first places, looked up with one in 16 stretches of the inverse kept, against the suffix array: how many,
+    and how many differ."""
+    index = kept_index(spark, d)
+    sa, few = index.tables["sa"], 16
+    sparse = ranks.Ranks(index.ranks.ranks, index.ranks.tree, durable(ranks.sparse_places(sa, few)), index.ranks.n, index.ranks.cap, few)
+    asked_ = index.tables["contigs"].where("len > 0").select(F.col("offset").alias("pos"))
+    found = ranks.isa_at(sparse, index.text, asked_, index.searcher).withColumnRenamed("rank", "found").join(sa, "pos")
+    return found.agg(F.count("*").alias("n"), F.count_if(~F.col("found").eqNullSafe(F.col("rank"))).alias("wrong"))
+
+
+def window_table(spark, d):
+    """Every window of 32 bases of the passages: the learned model's prediction beside the exact search (the prediction is left out here, as SQL has none)."""
+    found = kept_index(spark, d).windows(reads(spark, d))
+    return found.select("rid", F.col("at").cast("long").alias("at"), "key", F.col("len").cast("long").alias("len"), "start", "occ", "present")
+
+
+def leaf_runs(spark, d):
+    """What leaves of the documents' ranks hold, with the longest run of one key."""
+    index = kept_index(spark, d)
+    pairs = learned.training_set(index.tables["sa"], index.text)
+    return learned.leaf_ends(pairs, LEAVES).select("leaf", "n", "first", "last", "longest_run")
+
+
+def partial_text(spark, d, safe: bool = False) -> text.Text:
+    """The documents of good quality as a text of their own: a small index beside the full one."""
+    good = table(spark, d, "labels").where("quality = 1").select("doc_id").distinct()
+    rows = durable(text.contigs(table(spark, d, "documents").select("doc_id", "text").join(good, "doc_id")))
+    return stored(text.build(rows, AHEAD, contig_safe=safe))
+
+
+def accept_gate(spark, d):
+    small_, full = durable(smem.supermaximal_matches(partial_text(spark, d), reads(spark, d))), durable(smem.supermaximal_matches(doubled(spark, d), reads(spark, d)))
+    present = gates.present_first(reads(spark, d), partial_text(spark, d, True).windows(32))
+    return gates.accept(small_, reads(spark, d), present, 2), gates.divergences(small_, full), full
+
+
+def accept_tallies(spark, d):
+    accepted, apart, full = accept_gate(spark, d)
+    return gates.accept_tallies(accepted, apart, full, 2)
+
+
+def divergence_tallies(spark, d):
+    return gates.divergence_tallies(accept_gate(spark, d)[1])
+
+
 def smems_pass1(spark, d):
     found = smem.supermaximal_matches(doubled(spark, d), reads(spark, d))
     return found.select("rid", F.col("m").cast("long").alias("m"), F.col("n").cast("long").alias("n"), "s")
@@ -268,7 +391,8 @@ QUERIES = (
     encode_documents, kmer_scalars, text_stats, n_runs, homopolymer_windows, interval_merge, interval_merge_touching, interval_pad_merge,
     interval_covered, kmer_counts, keepset_runs, keepset_stats, halo_runs, present_first, present_any, gate_misroute, bloom_gate,
     suffix_array, suffix_positions, kmer_table, pattern_intervals, range32, mem_search, forward_spectrum, forward_spectrum_tabled, mem_search_from_hint,
-    mem_search_backward_from_hint, backward_spectrum, smems_pass1,
+    mem_search_backward_from_hint, backward_spectrum, smems_pass1, index_intervals, index_mem_search, index_forward_spectrum, index_spectrum_from_hint,
+    index_backward_spectrum, index_backward_from_hint, index_backward_truncated, index_smems_pass1, index_places, window_table, leaf_runs, accept_tallies, divergence_tallies,
     smems_collect, learned_leaves, learned_lookup, learned_errors, learned_within, concordance_report, concordance_mapq,
 )
 
@@ -306,6 +430,18 @@ def windows(k: int, name: str = "w", whole: bool = True) -> str:
     return f"{name} AS (SELECT start + k AS pos, substr(seq, (k + 1)::BIGINT, {k}) AS w FROM ext, range(0, 1000) g(k) WHERE k < size" + (f" AND k + {k} <= length(seq))" if whole else ")")
 
 
+def placed(source: str, rows: str) -> str:
+    """CTEs spot(pat, sa_start, occ) of the distinct patterns (column pat) that `rows` gives, over ext: whole counts of what comes before a pattern's first 12 bases,
+    then the suffixes that share these."""
+    cut = lambda n: f"substr(seq, (k + 1)::BIGINT, {n})"
+    return f"""{source}, pt AS MATERIALIZED (SELECT DISTINCT pat, left(pat, 12) AS h FROM ({rows})), h12 AS (SELECT {cut(12)} AS h, count(*) AS n FROM ext, range(0, 1000) g(k) WHERE k < size GROUP BY 1),
+ cum AS MATERIALIZED (SELECT h, sum(n) OVER (ORDER BY h) AS upto FROM h12), base AS (SELECT pat, pt.h, coalesce(upto, 0) AS before FROM pt ASOF LEFT JOIN cum ON pt.h > cum.h),
+ near AS (SELECT h, w FROM (SELECT {cut(12)} AS h, {cut(600)} AS w FROM ext, range(0, 1000) g(k) WHERE k < size AND {cut(12)} IN (SELECT h FROM pt))),
+ fine AS (SELECT pat, count(*) FILTER (w < pat) AS less, count(*) FILTER (starts_with(w, pat)) AS occ FROM pt JOIN near USING (h) WHERE length(pat) >= 12 GROUP BY pat),
+ coarse AS (SELECT pat, sum(n) AS occ FROM pt JOIN h12 ON starts_with(h12.h, pat) WHERE length(pat) < 12 GROUP BY pat),
+ spot AS (SELECT pat, (1 + before + coalesce(less, 0))::BIGINT AS sa_start, coalesce(fine.occ, coarse.occ, 0)::BIGINT AS occ FROM base LEFT JOIN fine USING (pat) LEFT JOIN coarse USING (pat))"""
+
+
 def oracle_sql() -> dict[str, str]:
     doc = f"WITH {C}, "
     flat = f"{doc}{tiles(FLAT)}, "
@@ -331,6 +467,23 @@ def oracle_sql() -> dict[str, str]:
     forward = flat + prefixes.replace("<from>", "SELECT * FROM r")
     back = f"SELECT rid, {RC.format('left(seq, 52)')} AS seq FROM r"
     top = "pats AS (SELECT qid, max(m) AS match_len, arg_max(occ, m) AS occ FROM counts GROUP BY qid), pp AS (SELECT p.*, left(r.seq, match_len) AS pat FROM pats p JOIN r ON r.rid = p.qid), lo AS (SELECT qid, 1 + count(*) FILTER (w < pat) AS sa_start FROM pp, big GROUP BY qid)"
+    steps = "steps AS (SELECT qid, occ::BIGINT AS occ, max(m) AS match_len, left(any_value(seq), max(m)) AS pat FROM counts JOIN r ON r.rid = qid GROUP BY qid, occ)"
+    spectrum = f"{placed(f'{forward}, {steps}', 'SELECT pat FROM steps')} SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY match_len) - 1 AS step_no, sa_start, s.occ, match_len FROM steps s JOIN spot USING (pat)"
+    backward = flat + prefixes.replace("<from>", back)
+    bsteps = f"bs AS (SELECT qid, m, occ::BIGINT AS occ, substr(seq, (53 - m)::BIGINT, m::BIGINT) AS pat FROM counts JOIN r ON r.rid = qid WHERE m > 12)"
+    left_steps = f"{placed(f'{backward}, {bsteps}', 'SELECT pat FROM bs')} SELECT qid, m - 13 AS step_no, m AS match_len, sa_start, bs.occ FROM bs JOIN spot USING (pat)"
+    cuts = "bt AS (SELECT rid AS qid, coalesce(max(m), 12) AS m, substr(any_value(seq), (53 - coalesce(max(m), 12))::BIGINT, coalesce(max(m), 12)::BIGINT) AS pat FROM r LEFT JOIN (SELECT qid, m FROM counts WHERE m > 12 AND occ >= 2) c ON c.qid = r.rid GROUP BY rid)"
+    left_cut = f"{placed(f'{backward}, {cuts}', 'SELECT pat FROM bt')} SELECT qid, m AS match_len, CASE WHEN spot.occ > 0 THEN sa_start ELSE 0 END AS sa_start, spot.occ FROM bt JOIN spot USING (pat)"
+    pass1 = f"{flat}{seeds} SELECT rid, p AS m, p + l - 1 AS n, s FROM (SELECT *, lag(p) OVER w AS pp, lag(p + l) OVER w AS pe FROM top WINDOW w AS (PARTITION BY rid ORDER BY p)) WHERE NOT coalesce(pp = p - 1 AND pe >= p + l, false)"
+    good = "FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1))"
+    wins = f"rw AS (SELECT rid, i AS place, substr(seq, (i + 1)::BIGINT, 32) AS key FROM r, range(0, 5000) g(i) WHERE i + 32 <= length(seq) AND substr(seq, (i + 1)::BIGINT, 32) NOT LIKE '%N%'), k AS MATERIALIZED (SELECT DISTINCT key FROM rw), lens AS MATERIALIZED (SELECT key, l, left(key, l) AS pat FROM k, range(1, 33) g(l))"
+    # lengths over 11 by the suffixes that share 12 bases, shorter ones by counts of 12 bases
+    deep = "b32 AS (SELECT substr(seq, (k + 1)::BIGINT, 12) AS h, substr(seq, (k + 1)::BIGINT, 32) AS w, count(*) AS n FROM ext, range(0, 1000) g(k) WHERE k < size GROUP BY ALL), hit AS (SELECT DISTINCT key, l FROM lens JOIN b32 ON h = left(key, 12) WHERE l >= 12 AND starts_with(w, pat) UNION SELECT key, l FROM lens JOIN (SELECT DISTINCT h FROM b32) ON l < 12 AND left(h, l) = pat), lm AS (SELECT key, max(l) AS l, left(key, max(l)) AS pat FROM hit GROUP BY key)"
+    table_ = f"{placed(f'{flat}{R}, {wins}, {deep}', 'SELECT pat FROM lm')} SELECT rid, place AS \"at\", key, coalesce(l, 0) AS len, coalesce(a.sa_start, 0) AS start, coalesce(a.occ, 0) AS occ, coalesce(l, 0) = 32 AS present FROM rw LEFT JOIN lm USING (key) LEFT JOIN spot a USING (pat)"
+    runs = f"{flat}g AS (SELECT substr(seq, (k + 1)::BIGINT, 32) AS w, start + k < (SELECT 2 * sum(len) FROM o) - 30 AS ok, count(*) AS n FROM ext, range(0, 1000) g(k) WHERE k < size GROUP BY ALL), c2 AS (SELECT rpad(w, 32, 'T') AS key, ok, n, coalesce(sum(n) OVER (ORDER BY w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM g)"
+    gate = f"{doc}{R}, {safe} SELECT rid, {first} <> '' AND {first} IN (SELECT w FROM k32) AS present FROM r"
+    flags = "flags AS (SELECT present AS p1, present AND coalesce(sm.top < 2, false) AS p2, present AND coalesce(sm.top < 2, false) AND coalesce(covered, 0) = length(seq) AS p3, r.rid NOT IN (SELECT rid FROM apart) AS same, coalesce(fm.top > 2, false) AS high FROM r JOIN gate USING (rid) LEFT JOIN sm USING (rid) LEFT JOIN fm USING (rid) LEFT JOIN cover USING (rid))"
+    accept = f"WITH {R}, full_ AS ({pass1}), small_ AS ({pass1.replace('FROM documents)', good)}), gate AS ({gate.replace('FROM documents)', good)}), cover AS (SELECT rid, count(DISTINCT x) AS covered FROM (SELECT rid, unnest(range(m, n + 1)) AS x FROM small_) GROUP BY rid), sm AS (SELECT rid, max(s) AS top FROM small_ GROUP BY rid), fm AS (SELECT rid, max(s) AS top FROM full_ GROUP BY rid), apart AS (SELECT rid, CASE WHEN b.s IS NULL THEN 'missing' WHEN a.s IS NULL THEN 'over_emit' WHEN b.s < a.s THEN 'reduced' ELSE 'inflated' END AS kind, coalesce(CASE WHEN a.s IS NOT NULL THEN least(a.s, 5) END, 0)::INTEGER AS bucket FROM full_ a FULL JOIN small_ b USING (rid, m, n) WHERE a.s IS DISTINCT FROM b.s), {flags}"
     digits = " + ".join(f"(instr('ACGT', substr(key32, {i + 1}, 1)) - 1)::HUGEINT * {4 ** (31 - i)}::HUGEINT" for i in range(32))
     full = "SELECT doc_id, doc_id % 11 = 0 AS ub, doc_id % 13 = 0 AS ua, doc_id % 2 = 0 AS present, NOT (doc_id % 7 = 0) AS same, doc_id % 5 = 0 AS other, (n_chars + doc_id % 3) % 61 - n_chars % 61 AS delta FROM documents"
     comp = f"x AS (SELECT *, NOT ua AND NOT ub AND same AS pos, NOT ua AND NOT ub AND same AND NOT other AS place FROM ({full}))"
@@ -364,7 +517,20 @@ def oracle_sql() -> dict[str, str]:
         "mem_search_from_hint": f"{hint}, f AS (SELECT qid, max(l) AS n FROM h, two, range(20, 1001) g(l) WHERE l <= length(seq) - 30 AND substr(seq, 31, l::BIGINT) = substr(t, (pos + 1)::BIGINT, l::BIGINT) GROUP BY qid), p AS (SELECT qid, n, substr(seq, 31, n::BIGINT) AS pat FROM f JOIN h USING (qid)) {hint_end}",
         "mem_search_backward_from_hint": f"{hint}, f AS (SELECT qid, max(l) AS n FROM h, two, range(0, 31) g(l) WHERE l <= pos AND substr(seq, (31 - l)::BIGINT, l::BIGINT) = substr(t, (pos + 1 - l)::BIGINT, l::BIGINT) GROUP BY qid), p AS (SELECT qid, n + 20 AS n, substr(seq, (31 - n)::BIGINT, (n + 20)::BIGINT) AS pat FROM f JOIN h USING (qid)) {hint_end}",
         "backward_spectrum": f"{flat}{prefixes.replace('<from>', back)} SELECT qid, m - 13 AS step_no, m AS match_len, occ::BIGINT AS occ FROM counts WHERE m > 12",
-        "smems_pass1": f"{flat}{seeds} SELECT rid, p AS m, p + l - 1 AS n, s FROM (SELECT *, lag(p) OVER w AS pp, lag(p + l) OVER w AS pe FROM top WINDOW w AS (PARTITION BY rid ORDER BY p)) WHERE NOT coalesce(pp = p - 1 AND pe >= p + l, false)",
+        "smems_pass1": pass1,
+        "index_intervals": f"{placed(f'{flat}{R}', 'SELECT left(seq, n) AS pat FROM r, (VALUES (24), (100000)) v(n) WHERE left(seq, n) NOT LIKE ' + chr(39) + '%N%' + chr(39))} SELECT pat AS pattern, CASE WHEN occ > 0 THEN sa_start ELSE 0 END AS sa_start, occ FROM spot",
+        "index_mem_search": f"{forward}, {top} SELECT r.rid AS qid, coalesce(match_len, 0)::BIGINT AS match_len, coalesce(occ, 0)::BIGINT AS occ, coalesce(sa_start, 0)::BIGINT AS sa_start FROM r LEFT JOIN pp ON qid = r.rid LEFT JOIN lo ON lo.qid = r.rid",
+        "index_forward_spectrum": spectrum,
+        "index_spectrum_from_hint": spectrum,
+        "index_backward_spectrum": left_steps,
+        "index_backward_from_hint": left_steps,
+        "index_backward_truncated": left_cut,
+        "index_smems_pass1": f"SELECT rid, row_number() OVER (PARTITION BY rid ORDER BY m, n) - 1 AS \"at\", m, n, s, count(*) OVER (PARTITION BY rid) AS needed FROM ({pass1})",
+        "index_places": f"{doc.removesuffix(', ')} SELECT count(*) AS n, 0::BIGINT AS wrong FROM o WHERE len > 0",
+        "window_table": table_,
+        "leaf_runs": f"{runs} SELECT leaf, sum(n)::BIGINT AS n, 1 + min(before)::BIGINT AS first, max(before + n)::BIGINT AS last, max(run)::BIGINT AS longest_run FROM (SELECT *, sum(n) OVER (PARTITION BY key) AS run, ((instr('ACGT', left(key, 1)) - 1) * 4 + instr('ACGT', substr(key, 2, 1)) - 1)::BIGINT AS leaf FROM c2 WHERE ok) GROUP BY leaf",
+        "accept_tallies": f"{accept} SELECT p1, p2, p3, same, high, count(*) AS reads FROM flags GROUP BY CUBE (p1, p2, p3, same, high)",
+        "divergence_tallies": f"{accept} SELECT kind, bucket, count(*) AS spans FROM apart GROUP BY CUBE (kind, bucket)",
         "learned_leaves": f"{sa} SELECT ((instr('ACGT', left(key, 1)) - 1) * 4 + instr('ACGT', substr(key, 2, 1)) - 1)::BIGINT AS leaf, count(*) AS n, min(rank) AS first, max(rank) AS last FROM sa WHERE pos < (SELECT length(t) FROM two) - 30 GROUP BY 1",
         "concordance_report": f"WITH {comp} SELECT CASE WHEN grouping(present) = 1 THEN 'all' WHEN present THEN 'present' ELSE 'absent' END AS partition, {counts} FROM x GROUP BY ROLLUP (present)",
         "concordance_mapq": f"WITH {comp} SELECT delta::INTEGER AS mapq_delta, count(*) AS n FROM x WHERE place AND delta <> 0 GROUP BY 1",

@@ -162,6 +162,35 @@ def accept(smems: DataFrame, reads: DataFrame, present: DataFrame, most: int = 5
     return rows.select("rid", F.col("present").alias("p1"), p2.alias("p2"), (p2 & (F.coalesce("covered", F.lit(0)) == F.col("size"))).alias("p3"))
 
 
+#: How often a seed occurs, in the classes of the report.
+OCCURRENCES = (1, 2, 3, 4, 5)
+
+
+def divergences(fast: DataFrame, full: DataFrame) -> DataFrame:
+    """rid, m, n, kind, bucket of the spans (rid, m, n, s) in which a read's seeds from the small index differ from those from the full one: missing,
+    reduced or inflated occurrences, or over_emit (only the small index has the span). bucket: occurrences in the full index, 5 and more as 5.
+    A seed that is there more than once counts once."""
+    one = lambda df, name: df.groupBy("rid", "m", "n").agg(F.max("s").alias(name))
+    both = one(full, "a").join(one(fast, "b"), ["rid", "m", "n"], "full")
+    kind = F.when(F.col("b").isNull(), "missing").when(F.col("a").isNull(), "over_emit").when(F.col("b") < F.col("a"), "reduced").when(F.col("b") > F.col("a"), "inflated")
+    return both.select("rid", "m", "n", kind.alias("kind"), F.when(F.col("a") < OCCURRENCES[-1], F.col("a")).when(F.col("a").isNotNull(), OCCURRENCES[-1]).cast("int").alias("bucket")).where("kind is not null")
+
+
+def accept_tallies(accepted: DataFrame, diverging: DataFrame, full: DataFrame, most: int = 500) -> DataFrame:
+    """p1, p2, p3, same, high, reads: reads by which accept predicates hold (rid, p1, p2, p3), whether their seeds are those of the full index, and
+    whether some seed there occurs over `most` times, with all subtotals (null: all of them)."""
+    top = full.groupBy("rid").agg((F.max("s") > most).alias("high"))
+    rows = accepted.join(diverging.select("rid").distinct().withColumn("same", F.lit(False)), "rid", "left").join(top, "rid", "left")
+    rows = rows.select("p1", "p2", "p3", F.coalesce("same", F.lit(True)).alias("same"), F.coalesce("high", F.lit(False)).alias("high"))
+    return rows.cube("p1", "p2", "p3", "same", "high").agg(F.count("*").alias("reads"))
+
+
+def divergence_tallies(diverging: DataFrame) -> DataFrame:
+    """kind, bucket, spans: diverging spans by kind, by occurrences, by both and in all (null: all of them; bucket 0: not in the full index)."""
+    rows = diverging.select("kind", F.coalesce("bucket", F.lit(0)).alias("bucket"))
+    return rows.cube("kind", "bucket").agg(F.count("*").alias("spans"))
+
+
 def tiered(reads: DataFrame, present: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Reads that the small index serves, and those for the full one."""
     rows = reads.join(present.select("rid", "present"), "rid")

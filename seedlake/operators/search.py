@@ -182,26 +182,27 @@ def mem_search(text: Text, queries: DataFrame, starts: bool = False, most_occ: i
     return out.withColumn("sa_start", F.when(F.col("match_len") == 0, zero).otherwise(F.col("sa_start"))) if starts else out
 
 
-def truncated(text: Text, queries: DataFrame, least_occ: int, anchor: int = 0) -> DataFrame:
-    """qid, match_len, occ: the longest prefix with at least `least_occ` occurrences; not under `anchor`, whose count stands then."""
-    counts = match_counts(text, queries)
+def truncated(text: Text, queries: DataFrame, least_occ: int, anchor: int = 0, counts: DataFrame | None = None) -> DataFrame:
+    """qid, match_len, occ: the longest prefix with at least `least_occ` occurrences; not under `anchor`, whose count stands then. counts: those
+    of match_counts(), where they are known (so for the next two)."""
+    counts = match_counts(text, queries) if counts is None else counts
     good = counts.where((F.col("occ") >= least_occ) & (F.col("hi") >= anchor)).groupBy("qid").agg(F.max(F.struct("hi", "occ")).alias("x"))
     floor = counts.where((F.col("lo") <= anchor) & (F.col("hi") >= anchor)).select("qid", F.col("occ").alias("floor_occ"))
     rows = queries.select("qid").join(good, "qid", "left").join(floor, "qid", "left")
     return rows.select("qid", F.coalesce("x.hi", F.lit(anchor)).alias("match_len"), F.coalesce("x.occ", "floor_occ", F.lit(0)).cast("long").alias("occ"))
 
 
-def truncate_below_maximal(text: Text, queries: DataFrame, least_occ: int) -> DataFrame:
+def truncate_below_maximal(text: Text, queries: DataFrame, least_occ: int, counts: DataFrame | None = None) -> DataFrame:
     """qid, match_len, occ: the longest prefix shorter than the maximal match with at least `least_occ` occurrences; no row if none."""
-    counts = match_counts(text, queries)
+    counts = match_counts(text, queries) if counts is None else counts
     top = counts.groupBy("qid").agg(F.max("hi").alias("top"))
     rows = counts.join(top, "qid").withColumn("hi", F.least("hi", F.col("top") - 1)).where((F.col("hi") >= F.col("lo")) & (F.col("occ") >= least_occ))
     return rows.groupBy("qid").agg(F.max(F.struct("hi", "occ")).alias("x")).select("qid", F.col("x.hi").alias("match_len"), F.col("x.occ").alias("occ"))
 
 
-def first_below(text: Text, queries: DataFrame, longer_than: int, fewer_than: int) -> DataFrame:
+def first_below(text: Text, queries: DataFrame, longer_than: int, fewer_than: int, counts: DataFrame | None = None) -> DataFrame:
     """qid, match_len, occ: the first length over `longer_than` with under `fewer_than` occurrences (0 too, within the query); no row if none."""
-    counts = match_counts(text, queries)
+    counts = match_counts(text, queries) if counts is None else counts
     ends = counts.groupBy("qid").agg((F.max("hi") + 1).alias("lo"))
     size = F.position(F.lit("N"), F.concat("seq", F.lit("N"))) - 1
     none = queries.select("qid", size.alias("hi")).join(ends, "qid", "left").select("qid", F.coalesce("lo", F.lit(1)).alias("lo"), "hi", F.lit(0).cast("long").alias("occ"))

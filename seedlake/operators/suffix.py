@@ -17,25 +17,22 @@ def suffix_array(text: Text) -> DataFrame:
     """rank, pos of every suffix, the end marker's (rank 0) with them.
 
     Prefix doubling: ranks by the first 32 bases are refined by the rank 32, 64, ... bases on, until none is shared; only
-    suffixes that still share their rank are looked at again.
+    suffixes that still share their rank are looked at, and written, again.
     """
     heads = text.suffixes(FIRST)
     order = global_offsets(heads.groupBy("w").agg(F.count("*").alias("n")), ["w"], "n", "below")
-    ranks = durable(heads.join(order, "w").select("pos", (F.col("below") + 1).alias("rank"), "n"))
-    step = FIRST
-    while True:
-        tied = ranks.where("n > 1")
-        if tied.isEmpty():
-            break
-        after = ranks.select((F.col("pos") - step).alias("pos"), F.col("rank").alias("next"))
+    last = durable(heads.join(order, "w").select("pos", (F.col("below") + 1).alias("rank"), "n"))
+    settled, step = last.where("n = 1").select("pos", "rank"), FIRST
+    while not (tied := last.where("n > 1")).isEmpty():
+        after = settled.unionByName(tied.select("pos", "rank")).select((F.col("pos") - step).alias("pos"), F.col("rank").alias("next"))
         seen = durable(tied.join(after, "pos", "left").select("pos", "rank", F.coalesce("next", F.lit(0)).alias("next")))
         groups = seen.groupBy("rank", "next").agg(F.count("*").alias("n"))
         below = F.coalesce(F.sum("n").over(Window.partitionBy("rank").orderBy("next").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        finer = seen.join(groups.withColumn("below", below), ["rank", "next"]).select("pos", (F.col("rank") + F.col("below")).alias("rank"), "n")
-        ranks = durable(ranks.where("n = 1").unionByName(finer))
+        last = durable(seen.join(groups.withColumn("below", below), ["rank", "next"]).select("pos", (F.col("rank") + F.col("below")).alias("rank"), "n"))
+        settled = settled.unionByName(last.where("n = 1").select("pos", "rank"))
         step *= 2
-    end = ranks.sparkSession.range(1).select(F.lit(text.total).cast("long").alias("pos"), F.lit(0).cast("long").alias("rank"))
-    return ranks.select("pos", "rank").unionByName(end).select("rank", "pos")
+    end = settled.sparkSession.range(1).select(F.lit(text.total).cast("long").alias("pos"), F.lit(0).cast("long").alias("rank"))
+    return settled.unionByName(end).select("rank", "pos")
 
 
 def with_keys(sa: DataFrame, text: Text) -> DataFrame:

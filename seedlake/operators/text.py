@@ -13,19 +13,29 @@ from pyspark.sql import functions as F
 
 from ..functions import bases
 from .intervals import global_offsets, merge
+from .store import durable
 
 TILE = 1024
+#: Parts that saved tiles are divided into at most, and tiles in a part at least.
+PARTS, LEAST = 256, 1024
 #: Bytes of asked patterns up to which they are broadcast.
 SMALL = 32 << 20
 
 
 @dataclass
 class Text:
-    """tiles(start, size, seq): seq has the bases from start on, `size` of them the tile's own; length: of the forward text."""
+    """tiles(start, size, seq): seq has the bases from start on, `size` of them the tile's own; length: of the forward text. part: with
+    a column `part` by which tiles are stored, the bases to a part; at() then reads only the parts that it needs (at most PARTS numbers are collected)."""
 
     tiles: DataFrame
     length: int
     ahead: int
+    part: int = 0
+
+    def parted(self) -> Text:
+        """The same with a column `part` to store the tiles by."""
+        size = max(LEAST * TILE, -(-self.total // PARTS))
+        return Text(self.tiles.withColumn("part", F.floor(F.col("start") / size).cast("int")), self.length, self.ahead, size)
 
     @property
     def total(self) -> int:
@@ -65,7 +75,12 @@ class Text:
         self.check(cap)
         block = lambda at: F.floor(at / TILE)
         end = F.col("start") + F.col("size")
-        tiles = self.tiles.where("size > 0").select("start", end.alias("stop"), "seq", F.explode(F.sequence(block(F.col("start")), block(end - 1))).alias("block")).alias("t")
+        tiles = self.tiles
+        if self.part:
+            rows = durable(rows)
+            near = F.explode(F.array_distinct(F.array(*[F.floor((F.col("pos") - back) / self.part).cast("int") for back in (0, TILE)]))).alias("part")
+            tiles = tiles.where(F.col("part").isin([r[0] for r in rows.select(near).distinct().where(f"part between 0 and {self.total // self.part}").collect()]))
+        tiles = tiles.where("size > 0").select("start", end.alias("stop"), "seq", F.explode(F.sequence(block(F.col("start")), block(end - 1))).alias("block")).alias("t")
         asked = rows.withColumn("__block", block(F.col("pos"))).alias("q")
         hit = (F.col("q.__block") == F.col("t.block")) & (F.col("q.pos") >= F.col("t.start")) & (F.col("q.pos") < F.col("t.stop"))
         w = F.substr(F.col("t.seq").cast("binary"), (F.col("q.pos") - F.col("t.start")).cast("int") + 1, F.lit(cap))
@@ -89,6 +104,8 @@ def contigs(docs: DataFrame, key: str = "doc_id", text: str = "text", encode: bo
 
 def build(contigs: DataFrame, ahead: int = 512, contig_safe: bool = False, tile: int = TILE, strands: int = 2, fill: str = "A") -> Text:
     """The text of contigs (contig_id, seq, len, offset), N as `fill`; strands 1: forward only. One sum (the length) is read by the driver."""
+    if tile > TILE:
+        raise ValueError(f"tiles have at most {TILE} bases of their own")
     length = int(contigs.agg(F.coalesce(F.sum("len"), F.lit(0))).first()[0])
     rows = contigs.where("len > 0").select("offset", "len", bases.fill_n("seq", fill).alias("seq"))
     both = rows.select(F.col("offset").alias("at"), "seq", "len").unionByName(rows.select((F.lit(2 * length) - F.col("offset") - F.col("len")).alias("at"), bases.reverse_complement("seq").alias("seq"), "len"))

@@ -10,13 +10,17 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import gates, smem
 from ..operators.text import Text
+from ..plans.index import Index
 
 
-def seed_stream(reads: DataFrame, text: Text, out: str, checkpoint: str, options: smem.Options = smem.Options(), once: bool = True) -> StreamingQuery:
-    """Writes the seeds of a stream of reads (rid, seq) to `out`, one folder a batch, so a batch that is run again replaces itself."""
+def seed_stream(reads: DataFrame, text: Text | Index, out: str, checkpoint: str, options: smem.Options = smem.Options(), once: bool = True) -> StreamingQuery:
+    """Writes the seeds of a stream of reads (rid, seq) to `out`, one folder a batch, so a batch that is run again replaces itself.
+    text: a kept index answers every batch by lookups, and reads the blocks of its tables that the batch's reads need; without one, a
+    text is read anew in every batch."""
 
     def batch(rows: DataFrame, number: int) -> None:
-        smem.collect(text, rows, options).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        found = text.collect_smems(rows, options, False) if isinstance(text, Index) else smem.collect(text, rows, options)
+        found.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return _start(reads, batch, checkpoint, once)
 

@@ -19,7 +19,7 @@ def make():
     motif, long = draw(70), draw(330)
     fwd = draw(400) + motif + "A" * 70 + motif[3:] + long + draw(150) + "ACG" * 25 + long[:300] + "G" + draw(90) + motif * 2 + long + "T" * 40
     two = fwd + rc(fwd)
-    reads = [motif + draw(30), two[1000:1300], long[20:] + "A", draw(60), "ACG" * 20 + "T", two[-50:], two[-50:] + "C", "A" * 100, "N" + motif, motif[:20] + "N" + motif, "", "G", two[300:420] + "N" + two[500:640], long[100:280] + motif]
+    reads = [motif + draw(30), two[1000:1140], long[200:] + "A", draw(60), "ACG" * 20 + "T", two[-50:], two[-50:] + "C", "A" * 100, "N" + motif, motif[:20] + "N" + motif, "", "G", two[300:380] + "N" + two[500:590], long[220:280] + motif]
     return fwd, two, reads
 
 
@@ -157,7 +157,7 @@ def test_seeds(spark, case):
 def test_places(spark, case, every):
     """Places are found whether all are kept or every 4th or 16th stretch; the table shrinks as many times."""
     t, two, _, sa, index, model, order = case
-    fewer = index if every == 1 else ranks.Ranks(index.ranks, index.tree, durable(ranks._places(sa, every)), index.n, index.cap, every)
+    fewer = index if every == 1 else ranks.Ranks(index.ranks, index.tree, durable(ranks.sparse_places(sa, every)), index.n, index.cap, every)
     asked = [*range(0, len(two) + 1, 7), *range(len(two) - 70, len(two) + 3)]
     found = ranks.isa_at(fewer, t, spark.createDataFrame([(p,) for p in asked], "pos long")).collect()
     rank = {p: r for r, p in enumerate(order)}
