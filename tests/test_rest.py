@@ -148,7 +148,7 @@ def test_index_and_stream(spark, genome, tmp_path):
 def test_masks_and_priors(spark, genome):
     flat, contigs = genome
     spans = lambda *rows: spark.createDataFrame(list(rows), "start long, end long")
-    plain = dict(kmer_table_k=0, leaves=16)
+    plain = dict(kmer_table_k=0, leaves=16, tree=False)
     learned_from = lambda config, **more: sum(r.n for r in Index.build(contigs, config, **more).inspect()["kinds"].collect())
     assert learned_from(BuildConfig(**plain, homopolymer=20), mask=spans((0, 400)), prior=spans((500, 600))) == 16
     same = Index.build(contigs, BuildConfig(**plain), histogram=spark.createDataFrame([(7, 2)], "key long, count long"))
