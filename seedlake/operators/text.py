@@ -6,8 +6,12 @@ row, across contigs and strands as the reference text has it. With contig_safe n
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -131,16 +135,18 @@ def build(contigs: DataFrame, ahead: int = 512, contig_safe: bool = False, tile:
 
 def n_runs(contigs: DataFrame) -> DataFrame:
     """start, end of the maximal runs of N in the flat forward text."""
-    none = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("out"))
 
-    def step(acc: Column, part: Column) -> Column:
-        after = acc.at + F.length(part)
-        run = F.array(F.struct(acc.at.alias("start"), after.alias("end")))
-        return F.struct(after.alias("at"), F.when(F.startswith(part, F.lit("N")), F.concat(acc.out, run)).otherwise(acc.out).alias("out"))
-
-    parts = F.regexp_extract_all("seq", F.lit("N+|[^N]+"), F.lit(0))
-    rows = contigs.where("seq like '%N%'").select("offset", F.inline(F.aggregate(parts, none, step, lambda acc: acc.out)))
-    return merge(rows.select((F.col("offset") + F.col("start")).alias("start"), (F.col("offset") + F.col("end")).alias("end")), touching=True)
+    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for offset, size, seq in zip(*(batch.column(c) for c in ("offset", "len", "seq"))):
+                ends = np.array([m.span() for m in re.finditer("N+", seq.as_py())], np.int64).reshape(-1, 2)
+                whole = (ends[:, 0] > 0) & (ends[:, 1] < size.as_py())
+                ends += offset.as_py()
+                yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1]), pa.array(whole)], ["start", "end", "whole"])
+
+    flat = contigs.where("seq like '%N%'").select("offset", "len", "seq").mapInArrow(spans, "start long, end long, whole boolean")
+    # a run inside a contig is whole; only those at a contig's ends can go on in the next
+    return flat.where("whole").select("start", "end").unionByName(merge(flat.where("not whole"), touching=True).select("start", "end"))
 
 
 def longest(reads: DataFrame, seq: str = "seq") -> int:
