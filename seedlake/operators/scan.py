@@ -215,6 +215,121 @@ def matched(text: Text, strings: list[tuple[bytes, range]], least: int, most: in
     return text.tiles.select("size", "seq").mapInArrow(meet, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n"))
 
 
+class Sides:
+    """How places of a text stand to strings in order: for each string and number of shared bases, how many places between it and the string before
+    it (side 0), or the one after it (side 1), share as many with it, and the first such place."""
+
+    #: First bases by which most places are told apart.
+    TOP = 10
+
+    def __init__(self, strings: list[bytes]):
+        self.sizes = np.array([len(x) for x in strings], np.int64)
+        self.begin = np.cumsum(self.sizes) - self.sizes
+        #: where a string's entries begin: one for each number of bases that it can share
+        self.entry = self.begin + np.arange(len(strings))
+        self.entries = int((self.sizes + 1).sum())
+        self.probes = Probes(b"".join(strings), self.begin, self.sizes)
+        self.codes = np.append(rolling(_CODE[np.frombuffer(self.probes.bases, np.uint8)], 32), np.uint64(0))
+
+    def common(self, codes: np.ndarray, at: np.ndarray, size: np.ndarray, string: np.ndarray) -> np.ndarray:
+        """How many bases the places share with a string each."""
+        most = np.minimum(size, self.sizes[string])
+        out, left, depth = most.copy(), np.arange(len(at)), 0
+        while len(left := left[most[left] > depth]):
+            a, b = codes[at[left] + depth], self.codes[self.begin[string[left]] + depth]
+            n = np.minimum(shared(a, b), most[left] - depth)
+            whole = n == 32
+            out[left[~whole]] = depth + n[~whole]
+            left, depth = left[whole], depth + 32
+        return out
+
+    def stand(self, codes: np.ndarray, at: np.ndarray, size: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each side: which of the places have a string there, and that string's entry."""
+        slot, out = self.probes.find(codes, at, size)[0], []
+        for string in (slot, slot - 1):
+            has = np.flatnonzero((string >= 0) & (string < len(self.sizes)))
+            out.append((has, self.entry[string[has]] + self.common(codes, at[has], size[has], string[has])))
+        return out
+
+
+def sides(text: Text, strings: list[bytes]) -> tuple[Sides, np.ndarray, np.ndarray]:
+    """The Sides of strings (in order, distinct, over ACGT, none empty) in one pass: counts and first places by side and entry. Places that share no string's
+    first bases are counted by their own first bases; only the others are compared."""
+    known = Sides(strings)
+    text.check(int(known.sizes.max(initial=0)))
+    top, none, total = 4**known.TOP, np.iinfo(np.int64).max, text.total
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_ = np.zeros(top, bool)
+        long = known.sizes >= known.TOP
+        open_[(known.codes[known.begin[long]] >> np.uint64(64 - 2 * known.TOP)).astype(np.int64)] = True
+        heads, first = np.zeros(top, np.int64), np.full(top, none)
+        n, least = np.zeros((2, known.entries), np.int64), np.full((2, known.entries), none)
+
+        def add(codes, at, size, pos, times=None):
+            for side, (has, entry) in enumerate(known.stand(codes, at, size)):
+                n[side] += np.bincount(entry, None if times is None else times[has], known.entries).astype(np.int64)
+                np.minimum.at(least[side], entry, pos[has])
+
+        for codes, _, at, pos, _, _ in stretches(batches):
+            room = total - pos  # a tile goes on behind its own places, unless the text ends
+            head = (codes[at] >> np.uint64(64 - 2 * known.TOP)).astype(np.int64)
+            apart = open_[head] | (room < known.TOP)
+            at_, pos_ = at[apart], pos[apart]
+            add(codes, at_, np.minimum(room[apart], int(known.sizes.max())), pos_)
+            head, pos = head[~apart], pos[~apart]
+            heads += np.bincount(head, minlength=top)
+            np.minimum.at(first, head, pos)
+        met = np.flatnonzero(heads)
+        add(met.astype(np.uint64) << np.uint64(64 - 2 * known.TOP), np.arange(len(met)), np.full(len(met), known.TOP), first[met], heads[met])
+        for side in (0, 1):
+            found = np.flatnonzero(n[side])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), side)), pa.array(found), pa.array(n[side][found]), pa.array(least[side][found])], ["side", "entry", "n", "place"])
+
+    whole = text.tiles.select("start", F.lit(0).alias("lo"), F.col("size").alias("hi"), "seq").where("hi > 0")
+    rows = whole.mapInArrow(tally, "side long, entry long, n long, place long").groupBy("side", "entry").agg(F.sum("n"), F.min("place")).collect()
+    n, place = np.zeros((2, known.entries), np.int64), np.full((2, known.entries), none)
+    for side, entry, count, least in rows:
+        n[side, entry], place[side, entry] = count, least
+    return known, n, place
+
+
+def prefix_runs(text: Text, strings: list[bytes]) -> dict[bytes, list[tuple[int, int, int, int, int]]]:
+    """For each of some strings (in order, distinct, over ACGT, none empty) its prefixes that occur: lo, hi, occ, sa_start, place: those of lo to hi bases
+    occur occ times, stand from rank sa_start on, and first at `place`."""
+    if not strings:
+        return {}
+    known, n, place = sides(text, strings)
+    count, sizes = len(strings), known.sizes
+    near = known.common(known.codes, known.begin[1:], sizes[1:], np.arange(count - 1)) if count > 1 else np.zeros(0, np.int64)
+    own = lambda of, i: of[known.entry[i] : known.entry[i] + sizes[i] + 1]
+
+    def carried(side: int, order: range, step: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """By numbers of shared bases, the places on one side of each string: those next to it, and those of its neighbour, which share no more than both do."""
+        out, last = [], None
+        for i in order:
+            here, where = own(n[side], i).copy(), own(place[side], i).copy()
+            if last is not None:
+                most = int(near[min(i, i - step)])
+                here[:most] += last[0][:most]
+                here[most] += last[0][most:].sum()
+                where[:most] = np.minimum(where[:most], last[1][:most])
+                where[most] = min(where[most], last[1][most:].min())
+            out.append(last := (here, where))
+        return out
+
+    below, above, out = carried(0, range(count), 1), carried(1, range(count - 1, -1, -1), -1)[::-1], {}
+    for i, x in enumerate(strings):
+        (less, p), (more, q) = below[i], above[i]
+        occ = np.cumsum((less + more)[::-1])[::-1]
+        start = 1 + less.sum() - np.cumsum(less[::-1])[::-1]
+        first = np.minimum.accumulate(np.minimum(p, q)[::-1])[::-1]
+        occ, start, first = (v[1:].tolist() for v in (occ, start, first))
+        ends = [j for j in range(len(occ)) if occ[j] and (j + 1 == len(occ) or occ[j + 1] != occ[j])]
+        out[x] = [(lo + 2, j + 1, occ[j], start[j], first[j]) for lo, j in zip([-1, *ends], ends)]
+    return out
+
+
 def mers(text: Text, k: int) -> DataFrame:
     """w, n: how many places begin with each k-mer (k at most 8), or have only the fewer bases w."""
 

@@ -156,12 +156,26 @@ def prefixes(queries: DataFrame, most: int) -> DataFrame:
     return queries.select(F.col("qid"), "seq", m).select("qid", "m", F.left("seq", "m").alias("pattern"))
 
 
+def prefix_runs(text: Text, queries: DataFrame) -> DataFrame | None:
+    """qid, lo, hi, occ, sa_start, place: match_counts() with where the first hi bases stand among the suffixes, and the first place that they are at, by one
+    pass over the text; None if the queries (qid, seq) are not few."""
+    if (given := scan.few(queries, "seq", FEW)) is None:
+        return None
+    heads = {x: x[: len(x) - len(x.lstrip(b"ACGT"))] for x in given}
+    found = scan.prefix_runs(text, sorted({*heads.values()} - {b""}))
+    rows = [(x.decode(), *run) for x in given for run in found.get(heads[x], [])]
+    runs = text.tiles.sparkSession.createDataFrame(rows, "seq string, lo int, hi int, occ long, sa_start long, place long")
+    return queries.select("qid", "seq").join(F.broadcast(runs), "seq").drop("seq")
+
+
 def match_counts(text: Text, queries: DataFrame, table: DataFrame | None = None, k: int = 0) -> DataFrame:
     """qid, lo, hi, occ: the first lo to hi bases of a query (qid, seq) occur `occ` times; only where occ > 0.
 
-    Under SEED bases each length is counted by itself, up to k bases from a k-mer table (m, w, lo, hi) where one is given, beyond
-    by the profile.
+    Few queries are answered by one pass. For many, under SEED bases each length is counted by itself, up to k bases from a k-mer table (m, w, lo, hi)
+    where one is given, beyond by the profile.
     """
+    if table is None and (runs := prefix_runs(text, queries)) is not None:
+        return runs.drop("sa_start", "place")
     most = longest(queries)
     short = prefixes(queries, SEED - 1)
     if table is not None:
@@ -189,8 +203,12 @@ def with_starts(text: Text, steps: DataFrame, queries: DataFrame) -> DataFrame:
 def forward_spectrum(text: Text, queries: DataFrame, starts: bool = True, table: DataFrame | None = None, k: int = 0) -> DataFrame:
     """qid, step_no, sa_start, occ, match_len: a row for each count that prefixes of a query have, with the longest of them.
     table: the k-mer table of the text, which answers the first k lengths."""
+    number = F.row_number().over(Window.partitionBy("qid").orderBy("match_len")) - 1
+    if table is None and (runs := prefix_runs(text, queries)) is not None:
+        steps = runs.withColumnRenamed("hi", "match_len").withColumn("step_no", number)
+        return steps.select("qid", "occ", "match_len", "step_no", *["sa_start"] * starts)
     steps = match_counts(text, queries, table, k).groupBy("qid", "occ").agg(F.max("hi").alias("match_len"))
-    steps = steps.withColumn("step_no", F.row_number().over(Window.partitionBy("qid").orderBy("match_len")) - 1)
+    steps = steps.withColumn("step_no", number)
     return with_starts(text, steps, queries) if starts else steps
 
 
@@ -199,8 +217,11 @@ def mem_search(text: Text, queries: DataFrame, starts: bool = False, most_occ: i
 
     most_occ: the count stops at most_occ + 1, and sa_start is null there.
     """
-    best = match_counts(text, queries).groupBy("qid").agg(F.max(F.struct("hi", "occ")).alias("x")).select("qid", F.col("x.hi").alias("match_len"), F.col("x.occ").alias("occ"))
-    if starts:
+    runs = prefix_runs(text, queries)
+    counts = match_counts(text, queries) if runs is None else runs
+    known = ["hi", "occ"] + ["sa_start"] * (starts and runs is not None)
+    best = counts.groupBy("qid").agg(F.max(F.struct(*known)).alias("x")).select("qid", "x.*").withColumnRenamed("hi", "match_len")
+    if starts and runs is None:
         best = with_starts(text, best, queries)
     if most_occ is not None:
         best = best.withColumn("occ", F.least("occ", F.lit(most_occ + 1)))
