@@ -50,7 +50,7 @@ def test_from_hint(spark, tiled, monkeypatch, few):  # noqa: F811
     assert got == Counter(want)
 
 
-@pytest.mark.parametrize("name", ["index_backward_from_hint"])
+@pytest.mark.parametrize("name", ["index_backward_from_hint", "index_places"])
 def test_queries_rank_few_suffixes(spark, folder, monkeypatch, name):  # noqa: F811
     monkeypatch.setattr(suffix, "suffix_array", lambda t: pytest.fail("all suffixes are ranked"))
     made = catalog.queries()[name](spark, folder)
